@@ -9,9 +9,8 @@ within 1 bit of it, for each two blocks, puts the two under one anchor (about 11
 16.8 million anchors for each two blocks; radius plus the threshold's share on both
 sides, so an anchor holds all pairs within radius plus threshold of it).
 
-Only distinct fingerprints are replicated: copies share one.  Anchors that hold one
-fingerprint are dropped, anchors that hold many are split into pairs of chunks, each
-compared in a task of bounded memory, and every comparison returns a spanning forest
+Only distinct fingerprints are replicated: copies share one.  Anchors that hold many are
+split into pairs of chunks, each compared in a task of bounded memory, and every comparison returns a spanning forest
 of its links instead of all of them.  Components then join up over the anchors.
 
 Defined results: words are separated by the bytes 20 and 09-0D; a text of fewer words
@@ -40,6 +39,8 @@ SHINGLE, SEED, THRESHOLD = 4, 42, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: fingerprints an anchor may hold before it is split into pairs of chunks
 CHUNK = 2048
+#: split anchors that are broadcast at most (12 bytes each)
+BROADCAST = 100_000
 _POLY = 0b101011100011  # fixed value: generator of the Golay code, x^11+x^9+x^7+x^6+x^5+x+1
 
 
@@ -172,9 +173,11 @@ def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, threshold: int)
 def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that connect the same fingerprints as all links of ``classes.fp`` do."""
     every = classes.select("fp").mapInArrow(_replicas, "anchor long, fp long")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = shared.select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    met = every.join(shared, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    full = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    full = durable(full.select(F.col("anchor").alias("full"), F.ceil(F.col("n") / CHUNK).cast("int").alias("n_chunks")))
+    met = every.join(F.broadcast(full) if full.count() <= BROADCAST else full, every["anchor"] == F.col("full"), "left")
+    met = met.select("anchor", "fp", F.coalesce("n_chunks", F.lit(1)).alias("chunks"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = met.select("anchor", "fp", "own", other.alias("other")).select(
         "anchor",
