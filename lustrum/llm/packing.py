@@ -81,13 +81,13 @@ class _Stock:
         if gone:
             self._index()
 
-    def exact(self, held: tuple[int, ...], gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill ``gap`` next to what is held."""
+    def exact(self, held: tuple[int, ...], gap: int, most: int) -> tuple[int, ...] | None:
+        """One, two or three lengths (at most ``most``) that fill ``gap`` next to what is held."""
         if self.single >> gap & 1 and self.fits((*held, gap)):
             return (gap,)
-        if self.pair >> gap & 1 and (two := self._two(held, gap)):
+        if most > 1 and self.pair >> gap & 1 and (two := self._two(held, gap)):
             return two
-        for a in self.desc:
+        for a in self.desc if most > 2 else ():
             if a < gap and self.pair >> (gap - a) & 1 and (two := self._two((*held, a), gap - a)):
                 return (a, *two)
         return None
@@ -104,15 +104,22 @@ class _Stock:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, how many such sequences), all of ``counts`` placed.
 
-    Every entry uses up a length or the longest one's share, so the number of entries
-    grows with the distinct lengths and not with the documents.
+    Triples fill gaps that pairs can't, but where long lengths abound they use up short
+    ones that would each complete one; so the plans that consume up to triples, pairs and
+    singles are made, and that of the fewest sequences is taken.
     """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda entries: sum(times for _, times in entries))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
+    """Every entry uses up a length or the longest one's share, so the number of entries
+    grows with the distinct lengths and not with the documents."""
     stock, out = _Stock(counts), []
     while stock.n:
         held: tuple[int, ...] = (stock.desc[0],)
         gap = capacity - held[0]
         while gap:
-            if rest := stock.exact(held, gap):
+            if rest := stock.exact(held, gap, most):
                 held, gap = (*held, *rest), 0
                 break
             best = next((k for k in stock.desc if k <= gap and stock.fits((*held, k))), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, linededup, packing, quality, sharding, simhash, urlfilter
+from . import ann, decontamination, licenses, linededup, packing, quality, sharding, simhash, tokencount, urlfilter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,6 +31,14 @@ def op5_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
@@ -46,4 +58,8 @@ def oracle_sql() -> dict:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_hash_tree_sharding, op4_simhash_anchors, op5_url_redirects, op8_line_windows, op9_winnowing, op10_pairwise_quality)}
+    every = (
+        op1_best_fit_packing, op2_hash_tree_sharding, op3_license_paragraphs, op4_simhash_anchors, op5_url_redirects,
+        op6_dimension_scan, op7_separator_scan, op8_line_windows, op9_winnowing, op10_pairwise_quality,
+    )
+    return {f.__name__: f for f in every}

@@ -46,6 +46,10 @@ class Encoder:
         """uint32 ids of ``text``; the added tokens' strings count as those tokens."""
         return self._bpe.encode_to_numpy(text, allowed_special="all")
 
+    def plain_ids(self, text: str) -> np.ndarray:
+        """uint32 ids of ``text`` taken as ordinary text throughout."""
+        return self._bpe.encode_to_numpy(text, disallowed_special=())
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
