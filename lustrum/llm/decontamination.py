@@ -78,9 +78,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
         own = worded if s == span else worded.where(F.size("words") >= s)
         at = _windows(own, ["doc_id", "th"], s, k, mark)
         fps = known.where(F.col("span") == s).select(F.col("fp").alias("known_fp")).distinct()
-        met = at.join(F.broadcast(fps) if few else fps, at["fp"] == F.col("known_fp"), "left")
-        met = met.where((F.col("at") < 0) | F.col("known_fp").isNotNull())
-        one = met.select("doc_id", "th", F.size("words").cast("long").alias("n_words"), F.lit(s).alias("span"), "at", F.when(F.col("at") >= 0, _text(s)).alias("w"))
+        text = F.when(F.col("at") >= 0, _text(s)).alias("w")
+        plain = ["doc_id", "th", F.size("words").cast("long").alias("n_words"), "at"]
+        if few:  # a window's text is made for those that some item has; the document's words stay where they are
+            met = at.join(F.broadcast(fps), at["fp"] == F.col("known_fp"), "left").where((F.col("at") < 0) | F.col("known_fp").isNotNull()).select(*plain, text)
+        else:  # rows are shuffled, each with its own window's text and no more
+            at = at.select(*plain, "fp", text)
+            met = at.join(fps, at["fp"] == F.col("known_fp"), "left").where((F.col("at") < 0) | F.col("known_fp").isNotNull())
+        one = met.select("doc_id", "th", "n_words", F.lit(s).alias("span"), "at", "w")
         rows = one if rows is None else rows.unionByName(one)
     rows = durable(rows)
 
