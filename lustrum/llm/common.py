@@ -30,6 +30,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, kept, and hinted for broadcast if it has at most ``rows`` rows; else joined by shuffle."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again (columns stay prunable)."""
     spark = df.sparkSession

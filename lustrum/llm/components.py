@@ -39,13 +39,13 @@ def _mark(e: DataFrame) -> tuple:
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours, moved to the smallest of it and its neighbours."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
+    low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m")))
     # the larger neighbours of a node are the rows of e in which it is v
     return e.join(low, e["v"] == low["at"]).select("u", F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node's smaller neighbours and the node itself, moved to the smallest of them."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    low = durable(e.groupBy("u").agg(F.min("v").alias("m")))
     others = e.join(low.withColumnRenamed("u", "at"), e["u"] == F.col("at")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return low.select("u", F.col("m").alias("v")).unionByName(others).distinct()
