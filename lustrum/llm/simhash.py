@@ -66,14 +66,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, th (hash of the text), fp (the fingerprint as a signed long)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(of, "doc_id long, th long, fp long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -208,13 +208,13 @@ def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links)."""
+    """doc_id, th (hash of the text), fp, component_id (smallest doc_id reachable over links)."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover links of at most {THRESHOLD} bits")
     own = durable(fingerprints(docs, shingle))
     classes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(links(classes, threshold))
-    labelled = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = durable(classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    lowest = durable(labelled.groupBy("root").agg(F.min("least").alias("component_id")))  # kept, so that the join's sides can be split
     named = labelled.join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return own.join(named, own["fp"] == F.col("__fp")).select("doc_id", "fp", "component_id")
+    return own.join(named, own["fp"] == F.col("__fp")).select("doc_id", "th", "fp", "component_id")
