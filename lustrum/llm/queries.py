@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, decontamination, licenses, linededup, packing, quality, sharding, simhash, tokencount, urlfilter
 from .common import table
+from .sql import oracle_sql as oracle_sql
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +54,6 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def oracle_sql() -> dict:
-    return {}
-
-
 def queries() -> dict:
     every = (
         op1_best_fit_packing, op2_hash_tree_sharding, op3_license_paragraphs, op4_simhash_anchors, op5_url_redirects,
