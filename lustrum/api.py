@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from . import constants as K
-from .functions import plain
+from .functions import charset, plain
 from .operators import hidden, instructions, output
+from .operators import prompt as prompt_operator
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,38 @@ def sanitize_text(text: str, html: bool = False) -> tuple[str, list[str], bool]:
     return output.clean_plain(text, html, False, None)
 
 
+def classify_prompt(prompt: str) -> PromptVerdict:
+    """pass, note (colours only) or block with a reason."""
+    escapes = plain.INTRODUCER.search(prompt) is not None
+    de_ansi = plain.drop_escapes(prompt)
+    runs, count = plain.long_runs(de_ansi), plain.payload_count(de_ansi)
+    quiet = not runs and count < K.SCATTERED
+    if quiet and not escapes:
+        return PromptVerdict("pass")
+    if quiet and plain.colour_only(prompt):
+        return PromptVerdict("note")
+    codes = {charset.category(ch) for ch in de_ansi}
+    labels = [K.LABELS[c] for c in (K.CF, K.SELECTORS, K.FILLERS) if c in codes] + [K.LABELS[K.ANSI]] * escapes
+    parts = [f"Detected: {', '.join(labels)}.", f"Invisible char count: {count} (long-run threshold: {K.LONG_RUN}, scattered threshold: {K.SCATTERED})."]
+    if runs:
+        parts.append(f"Long-run sample (first 16 code points): {' '.join(f'U+{ord(ch):04X}' for ch in runs[0][1][:16])}.")
+    return PromptVerdict("block", " ".join([*parts, prompt_operator.ADVICE]))
+
+
+def scan_instruction_files(globs: list[str], cwd: str = ".") -> list[tuple[str, list[dict]]]:
+    """(file, findings) of the local files that have any."""
+    out = []
+    for name in instructions.find_files(globs, cwd):
+        try:
+            with open(name, encoding="utf-8", newline="") as f:
+                found = instructions.scan_plain(f.read())
+        except (OSError, UnicodeDecodeError):
+            continue
+        if found:
+            out.append((os.path.relpath(name, cwd), found))
+    return out
+
+
 def scan_instruction_text(content: str) -> list[dict]:
     return instructions.scan_plain(content)
 

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lustrum import api
 from lustrum.operators import confusables as D
 from lustrum.operators import instructions as I
 from lustrum.operators.prompt import ADVICE, classify_prompt
@@ -21,6 +22,8 @@ ESC, Z = "\x1b", "​"
 def test_verdicts(spark, text, action):
     got = spark.createDataFrame([(text,)], "t string").select(classify_prompt(F.col("t")).alias("v")).first().v
     assert got.action == action and (got.reason is None) == (action != "block")
+    if text is not None:
+        assert api.classify_prompt(text) == api.PromptVerdict(*got)
 
 
 def test_reason(spark):
@@ -89,6 +92,7 @@ def test_files(spark, tmp_path):
     os.symlink(tmp_path / "gone.md", tmp_path / "dangling.md")
     got = I.scan_files(spark, ["**/*.md", "*.md"], str(tmp_path)).collect()
     assert [r.file for r in got] == ["sub/BAD.md"] and got[0].findings[0].charCount == 12
+    assert [(f, x[0]["charCount"]) for f, x in api.scan_instruction_files(["**/*.md"], str(tmp_path))] == [("sub/BAD.md", 12)]
     assert not I.clean_file(str(good)) and I.clean_file(str(bad)) and bad.read_text(encoding="utf-8") == "xy"
     os.symlink(good, tmp_path / "link.md")
     with pytest.raises(ValueError, match="symlink"):
