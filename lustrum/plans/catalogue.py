@@ -379,7 +379,7 @@ def secret_previews(spark, sf_dir):
 
 
 # ── G: tool output ──
-@query(f"select event_id, case when event_id % 4 = 0 then regexp_replace(props, '\\{{', '{{\"hid\":\"ab\",') else props end as value, event_id % 4 = 0 as modified from events")
+@query(f"select event_id, case when event_id % 4 = 0 then replace(replace(regexp_replace(props, '\\{{', '{{\"hid\":\"ab\",'), ': ', ':'), ', ', ',') else props end as value, event_id % 4 = 0 as modified from events")
 def value_walk_props(spark, sf_dir):
     t = F.when(F.col("event_id") % 4 == 0, F.regexp_replace("props", r"^\{", '{"hid":"a​b",')).otherwise(F.col("props"))
     events = _table(spark, sf_dir, "events").withColumn("t", t).withColumn("v", output.sanitize_value(F.col("t")))
