@@ -87,6 +87,7 @@ class _Builder:
         self.text = text
         self.root = Node("root", 0, len(text))
         self.stack = [self.root]
+        self.n_open: Counter = Counter()  # by tag, so that deep stacks aren't searched in vain
 
     def add_text(self, start: int, end: int) -> None:
         if end > start:
@@ -103,11 +104,14 @@ class _Builder:
         """Elements from ``depth`` on end at ``at``; the first of them with its own end tag if there is one."""
         while len(self.stack) > depth:
             node = self.stack.pop()
+            self.n_open[node.tag] -= 1
             own = tag_end is not None and len(self.stack) == depth
             node.closed = own
             node.end = tag_end if own else (node.children[-1].end if node.children else at)
 
     def nearest(self, names, walls=frozenset()) -> int | None:
+        if not any(self.n_open[name] for name in names):
+            return None
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[depth].tag
             if tag in names:
@@ -117,6 +121,8 @@ class _Builder:
         return None
 
     def foreign(self) -> bool:
+        if not self.n_open["svg"] and not self.n_open["math"]:
+            return False
         for node in reversed(self.stack[1:]):
             if node.tag in ("svg", "math"):
                 return True
@@ -148,6 +154,7 @@ class _Builder:
             node.closed = True
             return False
         self.stack.append(node)
+        self.n_open[tag] += 1
         return True
 
     def close(self, tag: str, start: int, end: int) -> None:

@@ -100,7 +100,7 @@ def parse_url(url: Column) -> Column:
         port = F.regexp_extract(host_port, r":([0-9]*)\z", 1)
         host = F.lower(F.regexp_replace(host_port, r":[0-9]*\z", ""))
         default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | ((scheme == "ftp") & (port == "21")) | (port == "")
-        bad = has_host & ~other & ((host == "") | host.rlike(r"[\x00-\x20<>\[\]^|%\x7f\\:]") & ~host.rlike(r"\A\[[0-9a-f:.]+\]\z") | (F.length(port) > 5) | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535))
+        bad = has_host & ~other & ((host == "") | host.rlike(r"[\x00-\x20<>\[\]^|%\x7f\\:\x{FFFD}]") & ~host.rlike(r"\A\[[0-9a-f:.]+\]\z") | (F.length(port) > 5) | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535))
         rest = F.when(has_host & ~other, F.regexp_extract(u, r"(?s)\A(?:[A-Za-z]+:)?[/\\]*[^/\\?#]*(.*)\z", 1)).when(has_host, F.regexp_extract(u, r"(?s)\A[^:]*://[^/?#]*(.*)\z", 1)).when(other, F.regexp_extract(u, r"(?s)\A[^:]*:(.*)\z", 1)).otherwise(u)
         return F.struct(
             (~bad).alias("valid"),

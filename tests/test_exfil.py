@@ -1,4 +1,3 @@
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ URLS = [
     (f"https://e.example/l?a=1#x={BLOB}", PARAM, "e.example"),
     (f"https://bad^host/l?secret={BLOB}", PARAM, "(unparsable URL)"),
     (f"https://bad^host/l?other={BLOB}", None, "(unparsable URL)"),
+    (f"https://\ufffdevil.example/l?token={BLOB}", PARAM, "(unparsable URL)"),
     ("https://user:pw@e.example/", "embedded credentials", "e.example"),
     ("https://user@e.example:8443/", "embedded credentials", "e.example:8443"),
     ("https://e.example/p?u=ghp_0a1b2c3d4e5f6g7h8i9j", CRED, "e.example"),
