@@ -102,9 +102,11 @@ def fit(rows: DataFrame, n: int, sample: int = SAMPLE, most_lists: int = LISTS)
     return Index(index.longest, turn, centers)
 
 
-def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows, each summed the same way wherever it stands."""
-    return (x * q).sum(axis=1)
+def exact_scores(x: np.ndarray, vi: np.ndarray, q: np.ndarray, qi: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs x[vi], q[qi], each summed the same way wherever it stands."""
+    step = max(1, 4_000_000 // x.shape[1])  # pairs at a time, for bounded memory
+    parts = [(x[vi[a : a + step]] * q[qi[a : a + step]]).sum(axis=1) for a in range(0, len(vi), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def measured_probes(dealt: DataFrame, queries: DataFrame, index: Index, k: int, aim: float = AIM) -> int:
@@ -140,7 +142,7 @@ def _cell(index: Index, k: int, vectors: pd.DataFrame, queries: pd.DataFrame) ->
     for a in range(0, len(q), 256):
         part = slice(a, a + 256)
         qi, vi = _survivors(index, x, q[part], ids, q_ids[part], least[part])
-        scores = exact_scores(x[vi], q[part][qi])
+        scores = exact_scores(x, vi, q[part], qi)
         order = np.lexsort((ids[vi], -scores, qi))
         qi, vi, scores = qi[order], vi[order], scores[order]
         starts = np.flatnonzero(np.concatenate(([True], qi[1:] != qi[:-1]))) if len(qi) else np.zeros(0, int)

@@ -58,7 +58,7 @@ def gapless_rank(df: DataFrame, by: list[str], bucket: Column, order: list[Colum
     base = base.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     own = Window.partitionBy(*keys).orderBy(*order)
     numbered = tagged.withColumn("__rank", F.row_number().over(own) - 1)
-    out = numbered.join(base.select(*[F.col(k).alias(f"__b_{k}") for k in keys], "__base"), F.lit(True) if not keys else _same(keys))
+    out = numbered.join(base.select(*[F.col(k).alias(f"__b_{k}") for k in keys], "__base"), _same(keys))
     return out.select(*df.columns, (F.col("__base") + F.col("__rank")).cast("long").alias(name))
 
 
