@@ -7,6 +7,7 @@ types and pictographs from the ``regex`` module's, so that no range table is kep
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
@@ -54,6 +55,15 @@ def re2_class(points) -> str:
     return java_class(points)
 
 
+def quick(body: str) -> str:
+    """A Java class of the code points in ``body``, all of them beyond U+00AC.
+
+    Java tries the parts of a class in turn; the range in front turns most characters of
+    most texts away at the first.
+    """
+    return rf"[\x{{AD}}-\x{{10FFFF}}&&[{body}]]"
+
+
 @functools.cache
 def java_classes() -> dict[str, str]:
     """Class bodies by category, in reporting order."""
@@ -66,6 +76,12 @@ def java_invisible() -> str:
     return java_class(invisible_points())
 
 
+@functools.cache
+def invisible_pattern() -> re.Pattern:
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs(invisible_points())) + "]")
+
+
+@functools.lru_cache(maxsize=1024)
 def category(ch: str) -> str | None:
     p = ord(ch)
     if p in format_points():
@@ -91,14 +107,17 @@ def joining_type(ch: str) -> str:
     return "U"
 
 
+@functools.lru_cache(maxsize=4096)
 def is_virama(ch: str) -> bool:
     return bool(ch) and _property(r"\p{Indic_Syllabic_Category=Virama}").match(ch) is not None
 
 
+@functools.lru_cache(maxsize=4096)
 def is_pictograph(ch: str) -> bool:
     return bool(ch) and _property(r"\p{Extended_Pictographic}").match(ch) is not None
 
 
+@functools.lru_cache(maxsize=4096)
 def is_emoji_part(ch: str) -> bool:
     """A pictograph, or the skin tone that may follow one."""
     return bool(ch) and _property(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}]").match(ch) is not None

@@ -10,7 +10,6 @@ _STRING = r"(?:\x1b\]|\x{9d})(?:[^\x07\x1b\x{9c}\x{9d}]*(?:\x1b\\|\x{9c}|\x07)|[
 _SEQUENCE = r"[\x1b\x{9b}][\[()#;?]{0,12}+(?:(?:\d{1,4}+(?:;\d{0,4}+)*+)?+[\dA-PR-TZcf-ntqry=><~]|\d{1,4}+(?:;++\d{1,4}+)*+)"
 ESCAPES = f"(?:{_STRING}|{_SEQUENCE})"
 COLOUR = r"(?:\x1b\[|\x{9b})[0-9;]*m"
-JOINERS = r"[\x{200C}\x{200D}\x{FE0E}\x{FE0F}]"
 TAG_PRESENT = r"<[a-zA-Z/!?][^<>]*>"
 LINK_HINT = r"(?m)\]\(|!\[|^[ \t]*\[[^\[\]\n]+\]:[\s\x{A0}\x{FEFF}\x{2028}\x{2029}]"
 SOURCE_TAG = r"</?[a-zA-Z][^<>]*>"

@@ -6,6 +6,7 @@ from binary with ``surrogatepass``.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -38,45 +39,42 @@ def colour_only(text: str) -> bool:
 
 @dataclass
 class Judged:
-    """A text's characters with their categories, and which of the invisible ones do work."""
+    """A text's invisible characters: where they are, their categories, and which do work."""
 
-    chars: str
-    codes: list[str | None]
+    size: int
+    at: list[int]
+    codes: list[str]
     works: list[str | None]
 
     @property
     def payload(self) -> int:
-        return sum(c is not None and w is None for c, w in zip(self.codes, self.works, strict=True))
+        return self.works.count(None)
 
     @property
     def visible(self) -> int:
-        return self.codes.count(None)
+        return self.size - len(self.at)
 
 
 def judge(text: str) -> Judged:
-    codes = [C.category(ch) for ch in text]
-    works: list[str | None] = [None] * len(text)
-    for i, code in enumerate(codes):
-        if code is None:
-            continue
-        ch = text[i]
-        if ch in (C.ZWNJ, C.ZWJ) and _joins(text, i):
-            works[i] = "joiner"
-        elif ch in (C.TEXT_STYLE, C.EMOJI_STYLE) and i and C.is_emoji_part(text[i - 1]):
-            works[i] = "style"
-    return Judged(text, codes, works)
+    at = [m.start() for m in C.invisible_pattern().finditer(text)]
+    return Judged(len(text), at, [C.category(text[i]) for i in at], [_work(text, i) for i in at])
+
+
+def _work(text: str, i: int) -> str | None:
+    if text[i] in (C.ZWNJ, C.ZWJ):
+        return "joiner" if _joins(text, i) else None
+    return "style" if text[i] in (C.TEXT_STYLE, C.EMOJI_STYLE) and i and C.is_emoji_part(text[i - 1]) else None
 
 
 def _joins(text: str, i: int) -> bool:
     """Whether the joiner at ``i`` shapes what stands around it."""
-    before, after = text[:i], text[i + 1 :] if i + 1 < len(text) else ""
-    if text[i] == C.ZWJ and after and C.is_pictograph(after[0]):
+    if text[i] == C.ZWJ and C.is_pictograph(text[i + 1 : i + 2]):
         k = i - 1
         while k >= 0 and C.is_selector(text[k]):
             k -= 1
         if k >= 0 and C.is_emoji_part(text[k]):
             return True
-    if before and C.is_virama(before[-1]):
+    if i and C.is_virama(text[i - 1]):
         return True
     left, right = _solid(text, i, -1), _solid(text, i, 1)
     if {left, right} & {C.ZWNJ, C.ZWJ}:
@@ -99,10 +97,6 @@ def payload_count(text: str) -> int:
     return judge(text).payload
 
 
-def may_work(text: str) -> bool:
-    return any(ch in text for ch in (C.ZWNJ, C.ZWJ, C.TEXT_STYLE, C.EMOJI_STYLE))
-
-
 def drop_invisible(text: str) -> tuple[str, list[str]]:
     """(cleaned, categories removed). One leading byte-order mark stays."""
     if text[:1] == C.BOM:
@@ -113,26 +107,24 @@ def drop_invisible(text: str) -> tuple[str, list[str]]:
 
 def drop_invisible_body(text: str) -> tuple[str, list[str]]:
     j = judge(text)
-    keep_any = may_work(text) and j.payload < K.SCATTERED
+    if not j.at:
+        return text, []
+    keep_any = j.payload < K.SCATTERED
     budget = max(K.BUDGET_FLOOR, -(-j.visible // K.VISIBLE_PER_JOINER))
-    out, gone = [], set()
+    out, gone, start, last = [], set(), 0, -1
     in_cluster = kept = 0
-    after_visible = False
-    for ch, code, work in zip(text, j.codes, j.works, strict=True):
-        if code is None:
-            if after_visible:  # two visible characters in a row end a joined cluster
-                in_cluster = 0
-            after_visible = True
-            out.append(ch)
-            continue
-        after_visible = False
+    for i, code, work in zip(j.at, j.codes, j.works, strict=True):
+        if i - last > 2:  # two visible characters in a row end a joined cluster
+            in_cluster = 0
+        last = i
         if keep_any and work and kept < budget and (work == "style" or in_cluster < K.CLUSTER_CAP):
             in_cluster += work == "joiner"
             kept += 1
-            out.append(ch)
         else:
             gone.add(code)
-    return "".join(out), [c for c in (K.CF, K.SELECTORS, K.FILLERS) if c in gone]
+            out.append(text[start:i])
+            start = i + 1
+    return "".join(out) + text[start:], [c for c in (K.CF, K.SELECTORS, K.FILLERS) if c in gone]
 
 
 @dataclass
@@ -166,17 +158,12 @@ def has_lone_surrogate(text: str) -> bool:
 
 def long_runs(text: str) -> list[tuple[int, str]]:
     """(start, run) of each run of invisible characters long enough to carry a payload."""
-    out, start = [], None
-    points = C.invisible_points()
-    for i, ch in enumerate(text):
-        if ord(ch) in points:
-            start = i if start is None else start
-        elif start is not None:
-            out.append((start, text[start:i]))
-            start = None
-    if start is not None:
-        out.append((start, text[start:]))
-    return [(a, run) for a, run in out if len(run) >= K.LONG_RUN]
+    return [(m.start(), m[0]) for m in _long_run().finditer(text)]
+
+
+@functools.cache
+def _long_run() -> re.Pattern:
+    return re.compile(f"{C.invisible_pattern().pattern}{{{K.LONG_RUN},}}")
 
 
 def describe_stripped(found: list[str], de_ansi: str) -> str:

@@ -54,7 +54,7 @@ def _scan(content: pd.Series) -> pd.Series:
 
 def suspicious(content: Column) -> Column:
     """Texts with enough invisible characters for a finding; no others have one."""
-    return F.regexp_count(content, F.lit(f"[{charset.java_invisible()}]")) >= K.LONG_RUN
+    return (F.octet_length(content) > F.char_length(content)) & (F.regexp_count(content, F.lit(charset.quick(charset.java_invisible()))) >= K.LONG_RUN)
 
 
 def scan_text(content: Column) -> Column:
@@ -64,7 +64,7 @@ def scan_text(content: Column) -> Column:
 
 def scattered_count(content: Column) -> Column:
     """Payload characters outside long runs."""
-    runs = F.regexp_extract_all(content, F.lit(f"([{charset.java_invisible()}]{{{K.LONG_RUN},}})"), 1)
+    runs = F.regexp_extract_all(content, F.lit(f"({charset.quick(charset.java_invisible())}{{{K.LONG_RUN},}})"), 1)
     return payload_count(content) - F.aggregate(runs, F.lit(0), lambda n, r: n + F.length(r))
 
 

@@ -30,12 +30,12 @@ def classify(ch: Column) -> Column:
 
 def found_codes(text: Column) -> Column:
     """Categories that occur, in reporting order."""
-    return present(*[(text.rlike(f"[{body}]"), code) for code, body in charset.java_classes().items()])
+    return present(*[(text.rlike(charset.quick(body)), code) for code, body in charset.java_classes().items()])
 
 
 def bulk_strip(text: Column) -> Column:
     """Every invisible character deleted."""
-    return F.regexp_replace(text, f"[{charset.java_invisible()}]", "")
+    return F.regexp_replace(text, charset.quick(charset.java_invisible()), "")
 
 
 def strip_charset(text: Column, points: frozenset[int] | None = None) -> Column:
@@ -45,7 +45,14 @@ def strip_charset(text: Column, points: frozenset[int] | None = None) -> Column:
 
 
 def needs_carve(text: Column) -> Column:
-    return text.rlike(P.JOINERS)
+    joiners = [text.contains(ch) for ch in (charset.ZWNJ, charset.ZWJ, charset.TEXT_STYLE, charset.EMOJI_STYLE)]
+    return joiners[0] | joiners[1] | joiners[2] | joiners[3]
+
+
+def dirty(text: Column) -> Column:
+    """Whether the first layer may act on the text; an ASCII text needs an escape character for that."""
+    plain_ascii = F.octet_length(text) == F.char_length(text)
+    return F.when(plain_ascii, text.contains("\x1b")).otherwise(text.rlike(f"[{charset.quick(charset.java_invisible())}\\x1b\\x{{80}}-\\x{{9f}}]"))
 
 
 @arrow("int")
@@ -55,7 +62,7 @@ def _carve_payload(text: pd.Series) -> pd.Series:
 
 def payload_count(text: Column) -> Column:
     """Invisible characters that do no work between their neighbours."""
-    native = F.regexp_count(text, F.lit(f"[{charset.java_invisible()}]"))
+    native = F.regexp_count(text, F.lit(charset.quick(charset.java_invisible())))
     return F.coalesce(_carve_payload(F.when(needs_carve(text), text)), native)
 
 
@@ -82,12 +89,12 @@ def strip_invisible(text: Column) -> Column:
 
 
 def long_run(text: Column) -> Column:
-    return text.rlike(f"[{charset.java_invisible()}]{{{K.LONG_RUN},}}")
+    return text.rlike(f"{charset.quick(charset.java_invisible())}{{{K.LONG_RUN},}}")
 
 
 def first_long_run(text: Column) -> Column:
     """The first long run, or null."""
-    run = F.regexp_extract(text, f"[{charset.java_invisible()}]{{{K.LONG_RUN},}}", 0)
+    run = F.regexp_extract(text, f"{charset.quick(charset.java_invisible())}{{{K.LONG_RUN},}}", 0)
     return F.when(run != "", run)
 
 
@@ -124,9 +131,8 @@ def _native_layer1(text: Column) -> Column:
         found = F.concat(found_codes(body), F.when(escapes, F.array(F.lit(K.ANSI))).otherwise(F.array().cast("array<string>")))
         return F.struct(swept.alias("cleaned"), de_ansi.alias("de_ansi"), found.alias("found"))
 
-    dirty = text.rlike(f"[{charset.java_invisible()}\\x1b\\x{{80}}-\\x{{9f}}]")
     clean = F.struct(text.alias("cleaned"), text.alias("de_ansi"), F.array().cast("array<string>").alias("found"))
-    return F.when(text.isNull(), F.lit(None)).when(dirty, let(strip_escapes(text), whole)).otherwise(clean)
+    return F.when(text.isNull(), F.lit(None)).when(dirty(text), let(strip_escapes(text), whole)).otherwise(clean)
 
 
 @arrow(LAYER1)
