@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, written
+from .common import durable, fresh_path, remove
 from .tokens import default_path, encoder
 
 #: end of a document, bytes an id, ids a block, ids a flat row before a new one begins
@@ -116,7 +116,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, file, ordinal, n_tokens: ``docs`` written flat to the shared folder, then scanned."""
-    files = written(flat(docs, tokenizer), "tokens")
+    spark = docs.sparkSession
+    path = fresh_path(spark, "tokens")
+    made = flat(docs, tokenizer)
+    made.write.parquet(path)
+    files = spark.read.schema(made.schema).parquet(path)
     found = scan(files)
     owners = files.select("file", F.posexplode("doc_ids").alias("at", "doc_id"))
-    return found.join(owners, (found["file"] == owners["file"]) & (found["ordinal"] == owners["at"])).select("doc_id", found["file"], "ordinal", "n_tokens")
+    met = found.join(owners, (found["file"] == owners["file"]) & (found["ordinal"] == owners["at"]))
+    out = durable(met.select("doc_id", found["file"], "ordinal", "n_tokens"))
+    remove(spark, path)  # the counts are kept, the tokens aren't needed any more
+    return out
