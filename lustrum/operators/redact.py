@@ -78,7 +78,8 @@ def redact_map(text: Column, config: Config = Config()) -> Column:
     acts = hinted(text, config) | text.contains(secrets.OPEN) | text.contains(secrets.CLOSE)
     empty = F.array()
     same = F.struct(text.alias("text"), empty.cast(PAIRS).alias("pairs"), empty.cast("array<string>").alias("found"), F.lit(None).cast("string").alias("unmappable"))
-    return F.when(text.isNotNull(), F.when(acts, of(F.when(acts, text))).otherwise(same))
+    got = of(F.when(acts, text))
+    return F.when(text.isNotNull(), F.when(got["text"].isNotNull() | got["unmappable"].isNotNull(), got).otherwise(same))
 
 
 def reconstruct(text: Column, pairs: Column) -> Column:

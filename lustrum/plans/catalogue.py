@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import charset
-from ..functions.rows import utf16_length
+from ..functions.rows import settled, utf16_length
 from ..functions.secrets import Config
 from ..operators import confusables, exfil, hidden, instructions, output, prompt, redact, rehydrate
 from ..operators import layer1 as L
@@ -335,7 +335,7 @@ _TOKEN_SQL = "regexp_replace(text, '(token = \")[0-9a-f]{40}(\")', '\\1[REDACTED
 
 @query(f"select doc_id, {_TOKEN_SQL} as cleaned from documents where {_TOKEN_SQL} <> text")
 def redact_named_fields(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").withColumn("r", redact.redact(F.col("text")))
+    docs = settled(_table(spark, sf_dir, "documents"), r=redact.redact(F.col("text")))
     return docs.where(F.col("r.text") != F.col("text")).select("doc_id", F.col("r.text").alias("cleaned"))
 
 
@@ -351,7 +351,7 @@ _SECRET = "AKIA" + "ABCDEFGHIJKLMNOP"
 @query("select doc_id, true as whole, case when doc_id % 6 = 0 then 1 else 0 end + len(regexp_extract_all(text, 'token = \"[0-9a-f]{40}\"')) as n from documents")
 def redact_map_roundtrip(spark, sf_dir):
     t = F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit(f"\nkey {_SECRET} end"))).otherwise(F.col("text"))
-    docs = _table(spark, sf_dir, "documents").withColumn("t", t).withColumn("m", redact.redact_map(F.col("t")))
+    docs = settled(_table(spark, sf_dir, "documents").withColumn("t", t), m=redact.redact_map(F.col("t")))
     return docs.select("doc_id", (redact.reconstruct(F.col("m.text"), F.col("m.pairs")) == F.col("t")).alias("whole"), F.size("m.pairs").cast("long").alias("n"))
 
 
@@ -466,10 +466,8 @@ def requests_answered(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     bad = F.when(F.col("doc_id") % 9 == 1, F.to_json(F.struct(F.lit("nope").alias("op"), F.col("t").alias("text")))).when(F.col("doc_id") % 9 == 2, F.lit('{"op":"sanitize"}'))
     line = F.coalesce(bad, F.to_json(F.struct(F.col("t").alias("text"))))
-    lines = docs.select("doc_id", line.alias("line"))
-    answers = requests.answer(lines.select("line"))
-    got = F.from_json("response", "cleaned string, error string")
-    met = lines.join(answers.select(F.col("line").alias("__line"), got.alias("g")).distinct(), F.col("line") == F.col("__line"))
+    answers = requests.answer(docs.select("doc_id", line.alias("line")))
+    met = settled(answers, g=F.from_json("response", "cleaned string, error string"))
     return met.select("doc_id", F.col("g.error").alias("error"), F.col("g.cleaned").alias("cleaned"))
 
 

@@ -44,7 +44,7 @@ def _only(df: DataFrame, cond: Column) -> Column:
 
 
 def answer(lines: DataFrame, limit: int = K.MAX_REQUEST_BYTES) -> DataFrame:
-    """``lines`` with ``response``, a JSON object each."""
+    """``lines`` (with whatever columns beside) and op, error and ``response``, a JSON object each."""
     df = parse(lines, limit)
     op, html = F.col("op"), F.col("html")
     df = df.withColumns(
@@ -64,7 +64,7 @@ def answer(lines: DataFrame, limit: int = K.MAX_REQUEST_BYTES) -> DataFrame:
     two = F.coalesce(F.col("__a"), F.col("__b"))
     four = F.coalesce(F.col("__c"), F.col("__d")).withField("sgrNote", F.coalesce(F.col("__c.sgr_note"), F.col("__d.sgr_note"))).dropFields("sgr_note")
     response = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).when(two.isNotNull(), F.to_json(two)).when(F.col("__e").isNotNull(), F.to_json("__e")).otherwise(F.to_json(four))
-    return df.select("line", "op", "error", response.alias("response"))
+    return df.select(*lines.columns, "op", "error", response.alias("response"))
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
