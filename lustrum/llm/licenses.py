@@ -11,8 +11,8 @@ templates: of the paragraph's or the template's word 5-grams, whichever are fewe
 or more are shared.
 
 The scan runs on DataFrame operations only.  Paragraphs without any anchor word (words
-that the notices use and prose doesn't) have no licence and go no further; the rest are
-few.  Weights and template shingles are broadcast: their number is fixed by the
+that the notices use and prose doesn't), word for a licence or family's short name have
+no licence and go no further; the rest are few.  Weights and template shingles are broadcast: their number is fixed by the
 templates here, whatever the corpus.
 
 Defined results: a null or empty text has no paragraphs and no licence; rows alike in
@@ -160,12 +160,20 @@ def train(penalty: float = 4e-4, steps: int = 400) -> Model:
     return Model(anchors, {g: tuple(map(int, whole[k])) for g, k in place.items() if whole[k].any()}, tuple(map(int, whole[-1])), round(floor, 4))
 
 
+#: words by which a paragraph is a licence's at least, though its family may be unknown
+NAMED = ("license", "licensed", "licence", "licenced", "copyright", "spdx")
+#: short names of families, which the anchors lack; MIT in capitals only, since "mit" is a German word
+_NAMES = r"gnu|gpl|bsd|mpl|cc[^0-9a-z]+by|(?-i:MIT)"
+
+
 def _anchored(text: Column, model: Model) -> Column:
-    return text.rlike(r"(?i)(?<![0-9a-z])(?:" + "|".join(model.anchors) + r")(?![0-9a-z])")
+    """Whether a text holds an anchor, a word of NAMED or a family's name."""
+    words = sorted({*model.anchors, *NAMED})
+    return text.rlike(r"(?i)(?<![0-9a-z])(?:" + "|".join(words) + "|" + _NAMES + r")(?![0-9a-z])")
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, th, par, words of the paragraphs that hold an anchor word."""
+    """doc_id, th, par, words of the paragraphs that can hold a licence."""
     hinted = docs.where(_anchored(F.col("text"), model))
     lines = hinted.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("par", "line"))
     words = F.filter(F.split(ascii_lower(F.col("line")), "[^0-9a-z]+", -1), lambda w: w != "")
@@ -203,7 +211,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     met = _beside(found.select(*key, "words"), best, key)
     met = _beside(met, alike.withColumnRenamed("kin", "likely"), [*key, "likely"]).withColumn("alike", F.coalesce("alike", F.lit(0.0)))
     sure = F.coalesce(F.col("probability") >= model.floor, F.lit(False))
-    named = F.exists("words", lambda w: w.isin("license", "licensed", "licence", "licenced", "copyright", "spdx"))
+    named = F.exists("words", lambda w: w.isin(*NAMED))
     family = F.when(sure, F.col("likely")).when(named, "unknown")
     out = met.withColumn("family", family).where(F.col("family").isNotNull())
     return out.select(*key, "family", F.coalesce("probability", F.lit(0.0)).alias("probability"), "alike", (sure & (F.col("alike") >= ALIKE)).alias("confirmed"))
