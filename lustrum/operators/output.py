@@ -211,7 +211,7 @@ def sanitize_value(tree: Column, html: bool = False, config: Config | None = Non
             rows.append((_json(new) if hit else doc, warnings, hit))
         return pd.DataFrame(rows, columns=["value", "warnings", "modified"])
 
-    acts = L.dirty(tree) | L.needs_carve(tree) | tree.contains("\\u")
+    acts = L.dirty(tree) | L.needs_carve(tree) | tree.contains("\\")
     acts = acts | (F.length(F.regexp_replace(tree, r"[^\[{]", "")) >= K.MAX_DEPTH)
     if html:
         acts = acts | tree.contains("<")

@@ -22,7 +22,9 @@ _PARTS = (
 )
 _SHAPES = r"[MNO][A-Za-z0-9_-]{23,25}\.|[0-9]{8}:[0-9A-Za-z_-]{35}|(?:AC|SK)[a-z0-9]{32}|[0-9a-z]{32}-us|gl[a-z]{2,12}-[0-9A-Za-z_-]{20}"
 _WORDS = ("key", "pass", "pwd", "secret", "contrase", "token", "bearer", "auth")
-_ASSIGNED = r"(?i)(?:key|pass|pwd|secret|contrase|token|bearer|auth)[\w-]{0,512}[\"'\]]{0,2}\s*[:=!]"
+#: one run of name signs that holds a word, an assignment behind it; \w and \s as in Python, which takes more for them than Java
+_RUN = r"[\w\p{N}-]"
+_ASSIGNED = rf"(?iuU)(?<!{_RUN})(?={_RUN}*?(?:" + "|".join(_WORDS) + rf")){_RUN}*+[\"'\]]{{0,2}}[\s\x1c-\x1f]*+[:=!]"
 
 
 def _any(text: Column, parts) -> Column:
@@ -45,9 +47,9 @@ def hinted(text: Column, config: Config) -> Column:
         return _any(flat, _PARTS) | shaped | (flat.contains("AP") & flat.rlike("AP[0-9A-F][A-Za-z0-9]{8}"))
 
     token = let(F.replace(text, F.lit("\n"), F.lit("")), flat_hint)
-    named = let(F.lower(text), lambda low: _any(low, _WORDS)) & text.rlike(_ASSIGNED)
+    named = let(F.translate(F.lower(text), "ſ", "s"), lambda low: _any(low, _WORDS)) & text.rlike(_ASSIGNED)  # (?i) takes ſ for s
     address = text.contains("://") & text.contains("@")
-    out = token | named | address | text.contains("-----BEGIN")
+    out = token | named | address | text.contains("-----")
     for value in config.values.values():
         out = out | text.contains(value[0])
     return out
