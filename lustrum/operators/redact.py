@@ -21,6 +21,8 @@ _PARTS = (
     "sk-", "AIza", "_v1_", "v1.0-", "hvs.", "hvb.", ".atlasv1.", "github_pat_", "gsk_", "xai-", "r8_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "eyJ",
 )
 _SHAPES = r"[MNO][A-Za-z0-9_-]{23,25}\.|[0-9]{8}:[0-9A-Za-z_-]{35}|(?:AC|SK)[a-z0-9]{32}|[0-9a-z]{32}-us|gl[a-z]{2,12}-[0-9A-Za-z_-]{20}"
+#: fields that count for some services even where a blank is all that assigns them
+_SERVICE_FIELD = r"""(?iu)(?:key|pwd?|password|pass|token)["']?\]? *(?::=|=>|::|[=: ]) *["']?[a-z0-9_-]{24}"""
 _WORDS = ("key", "pass", "pwd", "secret", "contrase", "token", "bearer", "auth")
 #: one run of name signs that holds a word, an assignment behind it; \w and \s as in Python, which takes more for them than Java
 _RUN = r"[\w\p{N}-]"
@@ -48,8 +50,9 @@ def hinted(text: Column, config: Config) -> Column:
 
     token = let(F.replace(text, F.lit("\n"), F.lit("")), flat_hint)
     named = let(F.translate(F.lower(text), "ſ", "s"), lambda low: _any(low, _WORDS)) & text.rlike(_ASSIGNED)  # (?i) takes ſ for s
-    address = text.contains("://") & text.contains("@")
-    out = token | named | address | text.contains("-----")
+    address = text.contains("://") & (text.contains("@") | text.contains("softlayer"))
+    service = text.rlike(_SERVICE_FIELD)
+    out = token | named | address | service | text.contains("-----")
     for value in config.values.values():
         out = out | text.contains(value[0])
     return out
