@@ -22,7 +22,7 @@ _PARTS = (
 )
 _SHAPES = r"[MNO][A-Za-z0-9_-]{23,25}\.|[0-9]{8}:[0-9A-Za-z_-]{35}|(?:AC|SK)[a-z0-9]{32}|[0-9a-z]{32}-us|gl[a-z]{2,12}-[0-9A-Za-z_-]{20}"
 #: fields that count for some services even where a blank is all that assigns them
-_SERVICE_FIELD = r"""(?iu)(?:key|pwd?|password|pass|token)["']?\]? *(?::=|=>|::|[=: ]) *["']?[a-z0-9_-]{24}"""
+_SERVICE_FIELD = r"""(?iu)(?:key|pwd?|password|pass|token)["']?\]?(?: *+(?::=|=>|::|[=:]) *+| ++)["']?[a-z0-9_-]{24}"""
 _WORDS = ("key", "pass", "pwd", "secret", "contrase", "token", "bearer", "auth")
 #: one run of name signs that holds a word, an assignment behind it; \w and \s as in Python, which takes more for them than Java
 _RUN = r"[\w\p{N}-]"
