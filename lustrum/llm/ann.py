@@ -187,8 +187,8 @@ def _scan(index: Index, k: int, dealt: DataFrame, asked: DataFrame, sizes: np.nd
     v_chunks = F.array(*[F.lit(int(x)) for x in np.maximum(1, -(-sizes // CHUNK))])
     q_chunks = F.array(*[F.lit(int(x)) for x in np.maximum(1, -(-wanted // QUERIES))])
 
-    def own_chunk(chunks: Column) -> Column:
-        return F.pmod(F.xxhash64("vec_id"), F.get(chunks, F.col("list"))).cast("int")
+    def own_chunk(chunks: Column) -> Column:  # vectors are dealt by id and value, so that rows that share an id part
+        return F.pmod(F.xxhash64("vec_id", "v"), F.get(chunks, F.col("list"))).cast("int")
 
     def all_chunks(chunks: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("list")) - 1))

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a folder of our own is set.
+    Only where the setting is absent in local mode, as in tests, a folder of our own is
+    set; a cluster without the setting has no folder that all executors see, and fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='lustrum-')}")
     return named or spark.sparkContext.getCheckpointDir()
 
@@ -82,5 +85,15 @@ def quoted(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -166,6 +166,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     # buckets enough that the most frequent length has at most some 250,000 rows in each
     buckets = max(64, max(counts.values(), default=0) // 250_000)
-    ranked = gapless_rank(cut, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], "__r")
+    ranked = gapless_rank(cut, ["length"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)), [F.col(c) for c in ("doc_id", "piece", "ids_crc32")], "__r")
     placed = ranked.withColumn("__at", place("length", "__r"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "__at.sequence_id", "__at.offset")

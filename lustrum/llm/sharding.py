@@ -83,6 +83,6 @@ def shard(docs: DataFrame, n: int = 24) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"),
     )
     rows = descend(descend(rows, F.col("__key"), tree(n), "shard"), F.col("__key"), tree(n + 1), "grown_shard")
-    bucket = F.conv(F.substring(F.md5(F.col("__key")), 1, 3), 16, 10).cast("int")
+    bucket = F.conv(F.substring(F.md5(F.concat(F.col("__key"), F.lit("|"), F.col("text_crc32").cast("string"))), 1, 3), 16, 10).cast("int")  # rows that share an id part
     out = gapless_rank(rows, ["shard"], bucket, [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -74,3 +74,26 @@ def test_short_items_and_joins_without_broadcast(spark, make_docs, docs, items,
 def test_empty_tables(spark, make_docs, docs, items):
     assert run(spark, make_docs, [], items) == []
     assert run(spark, make_docs, docs[:3], []) == slow(docs[:3], [])
+
+
+@pytest.mark.parametrize("k", [1, 4, 8, 10])
+def test_any_gram_length(spark, make_docs, docs, items, k):
+    assert run(spark, make_docs, docs, items, k=k) == slow(docs, items)
+
+
+def test_clashing_columns_of_the_benchmark(spark, make_docs, docs, items):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for name in ("words", "each", "g5", "place", "s", "at", "w", "fp", "doc_id", "th"):
+        table = table.withColumn(name, F.lit("x"))
+    got = D.decontaminate(make_docs(docs), table).drop("th")
+    assert sorted(str(tuple(r)) for r in got.collect()) == slow(docs, items)
+
+
+def test_windows_are_thinned(spark, make_docs):
+    rng = random.Random(3)
+    text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(3000))
+    win = D._Winnow(10, D.K, [10])
+    at = win.placed(win.hashed(D._words(make_docs([(1, text)]), []), []).withColumn("place", D.F.explode(win.places(10))))
+    assert 0.25 < at.where(win.fresh()).count() / at.count() < 0.42

@@ -41,3 +41,19 @@ def test_corpus(make_docs, corpus):
 
 def test_empty_table(make_docs):
     assert linededup.line_dedup(make_docs([])).collect() == []
+
+
+def test_texts_that_are_shuffled_whole_and_clashing_columns(make_docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = make_docs(CASES)
+    for name in ("__id", "__TH", "__starts", "__lines", "__covered", "__mark", "starts", "th"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    got = {}
+    for bound in (linededup.BROADCAST, 0):
+        monkeypatch.setattr(linededup, "BROADCAST", bound)
+        out = linededup.line_dedup(docs)
+        rows = out.collect()
+        assert all(r["__lines"] == r["__TH"] == "kept" for r in rows)
+        got[bound] = sorted(str((r["doc_id"], r["text"], r["__n_lines"], r["__n_removed"])) for r in rows)
+    assert got[0] == got[1_000_000] == slow(CASES)
