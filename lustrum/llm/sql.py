@@ -42,25 +42,24 @@ select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partiti
 
 
 def licenses_sql() -> str:
+    """Over all paragraphs: no anchors here."""
     m = licenses.train()
     weights = ", ".join(f"({_text(g)}, {list(w)})" for g, w in sorted(m.weights.items()))
     known = sorted({(s, f"{family}#{i}", family, len(licenses.shingles_of(licenses.words_of(t)))) for family, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts) for s in licenses.shingles_of(licenses.words_of(t))})
     shingles = ", ".join(f"({_text(s)}, {_text(t)}, {_text(f)}, {n})" for s, t, f, n in known)
     runs = lambda n: f"list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(words[i:i + {n - 1}], ' '))"
-    chances = ", ".join(f"{{'p': round(1 / (1 + exp(-(sum(w[{k + 1}]) + {m.bias[k]}) / {licenses.SCALE}.0)), 6), 'n': {_text(f)}}}" for k, f in enumerate(licenses.FAMILIES))
-    named = _list(("license", "licensed", "licence", "licenced", "copyright", "spdx"))
+    sure = ", ".join(f"case when sum(w[{k + 1}]) + {m.bias[k]} >= {m.cuts[k]} then {_text(f)} end" for k, f in enumerate(licenses.FAMILIES))
+    k = len(licenses.FAMILIES)
     return f"""with w(gram, w) as (values {weights}), t(shingle, template, kin, n_template) as (values {shingles}),
-l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as par from documents),
+b as (select doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{licenses.ENDED}', '\\1' || chr(1), 'g'), '{licenses.BLANK}', chr(1), 'g'), chr(1)) as parts from documents),
+l as (select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as par from b),
 p as (select doc_id, par, list_filter(regexp_split_to_array({_LOWER.format('line')}, '[^0-9a-z]+'), lambda x: x <> '') as words from l),
-a as (select * from p where list_has_any(words, {_list(m.anchors)})),
-g as (select doc_id, par, unnest(list_distinct(words || {runs(2)} || {runs(3)})) as gram from a),
-s as (select doc_id, par, list_sort([{chances}], 'desc')[1] as best from g join w using (gram) group by all),
-h as (select doc_id, par, list_distinct(case when len(words) < {licenses.SHINGLE} then [array_to_string(words, ' ')] else {runs(licenses.SHINGLE)} end) as own from a),
+g as (select doc_id, par, unnest(list_distinct(words || {runs(2)} || {runs(3)})) as gram from p),
+s as (select doc_id, par, list_filter([{sure}], lambda x: x is not null) as families, sum(w[{k + 1}]) + {m.bias[k]} >= {m.cuts[k]} as some_licence from g join w using (gram) group by all),
+f as (select doc_id, par, unnest(case when len(families) > 0 then families when some_licence then ['unknown'] else [] end) as family from s),
+h as (select doc_id, par, list_distinct(case when len(words) < {licenses.SHINGLE} then [array_to_string(words, ' ')] else {runs(licenses.SHINGLE)} end) as own from p semi join f using (doc_id, par)),
 n as (select doc_id, par, kin, template, count(*) / least(any_value(len(own)), any_value(n_template)) as alike from (select doc_id, par, own, unnest(own) as shingle from h) join t using (shingle) group by all),
-k as (select doc_id, par, kin, max(alike) as alike from n group by all),
-f as (select a.doc_id, coalesce(s.best.p >= {m.floor!r}, false) as sure, s.best.n as likely, coalesce(k.alike, 0) >= {licenses.ALIKE} as alike, list_has_any(words, {named}) as named
-  from a left join s using (doc_id, par) left join k on k.doc_id = a.doc_id and k.par = a.par and k.kin = s.best.n),
-r as (select doc_id, case when sure then likely else 'unknown' end as family, sure and alike as confirmed from f where sure or named)
+r as (select f.doc_id, family, coalesce((select max(alike) from n where n.doc_id = f.doc_id and n.par = f.par and n.kin = f.family), 0) >= {licenses.ALIKE} as confirmed from f)
 select d.doc_id, coalesce(array_to_string(list_sort(list(distinct family) filter (confirmed)), ','), '') as families, count(family) as n_licence, count(*) filter (confirmed) as n_confirmed, count(*) filter (family = 'unknown') as n_unknown
 from documents d left join r using (doc_id) group by d.doc_id"""
 
