@@ -36,7 +36,7 @@ def sharding_sql(n: int = 24) -> str:
 
     return f"""with c as (select list(v order by i) as tbl from (select i, list_reduce(range(8)::bigint[], lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v from range(256) r(i))),
 d as (select doc_id, coalesce(doc_id::varchar, 'null') as k, encode(coalesce(text, '')) as b from documents),
-s as (select doc_id, k, (octet_length(b) + 8)::bigint as size, {descend(sharding.tree(n))} as shard, {descend(sharding.tree(n + 1))} as grown_shard, hex(b) as x from d)
+s as (select doc_id, k, (octet_length(b) + 8)::bigint as size, {descend(sharding.tree(n))} as shard, {descend(sharding.tree(n + 1))} as grown_shard, hex(b) as x from d),
 t as (select *, xor(list_reduce(range(0, length(x) // 2), lambda c, i: xor(tbl[(xor(c, ('0x' || substr(x, 2 * i + 1, 2))::bigint) & 255) + 1], c >> 8), 4294967295), 4294967295) as text_crc32 from s, c)
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by substr(md5(k || '|' || text_crc32), 1, 3), doc_id) - 1 as slot, grown_shard from t"""
 

@@ -40,6 +40,7 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = _letters()
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        self.largest = max(max(ranks.values(), default=0), max(self.added.values(), default=0))
         self._bpe = tiktoken.Encoding("from_file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=dict(self.added))
 
     def ids(self, text: str) -> np.ndarray:

@@ -28,10 +28,36 @@ def test_raw_files(spark, tmp_path, width, block):
 
 
 def test_segments(make_docs, corpus):
-    files = T.flat(make_docs(corpus), segment=50)
-    assert files.count() > 20
-    assert files.select("file").distinct().count() == files.count()
+    files = T.flat(make_docs(corpus), segment=50, part=16).cache()
+    parts, owners = files.where("ids is not null"), files.where("doc_ids is not null")
+    assert owners.count() > 20 and owners.select("file").distinct().count() == owners.count() < parts.count()
+    assert parts.where("octet_length(ids) > 16 or doc_ids is not null").count() == 0
+    n_docs = {r.file: len(r.doc_ids) for r in owners.collect()}
+    got = T.scan(parts, block=3).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in got} == n_docs
 
 
 def test_empty_table(make_docs):
     assert T.count_tokens(make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_ranges_of_bytes(spark, tmp_path, width):
+    rng = np.random.default_rng(5)
+    ids = np.where(rng.random(5000) < 0.02, T.END, rng.integers(0, 50_000, size=5000))
+    (tmp_path / "a.bin").write_bytes(ids.astype(f"<u{width}").tobytes())
+    (tmp_path / "b.bin").write_bytes(b"")
+    whole = T.scan(T.read_files(spark, f"file://{tmp_path}"), width=width)
+    split = T.read_files(spark, f"file://{tmp_path}", part=72)
+    assert split.count() > 100
+    rows = lambda df: sorted((r.ordinal, r.n_tokens, r.open) for r in df.collect())
+    assert rows(T.scan(split, width=width, block=7)) == rows(whole)
+
+
+def test_what_does_not_fit_fails(spark, make_docs, tmp_path):
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        T.scan(T.read_files(spark, f"file://{tmp_path}")).collect()
+    with pytest.raises(ValueError, match="fit"):
+        T.flat(make_docs([(1, "a")]), end=70_000)
+    assert T.width_of() == 2 and T.width_of(end=70_000) == 4

@@ -56,3 +56,52 @@ def test_long_chains_and_stars(spark):
 
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_spellings_of_one_page_meet(spark):
+    aliases = [
+        ("http://two.net/a?x=1&y=2", link("http://Q.com/de/"), "block"), ("http://one.net/", link("http://two.net/a?x=1&amp;y=2#top"), "block"), ("http://one.net/b", link("HTTP://TWO.net:80/a?x=1&y=2"), "block"),
+        ("http://two.net/c/d", link("../a?x=1&y=2"), "block"), ("http://two.net/c/e/", link("./../x/../../a?x=1&#38;y=2"), "block"), ("HTTP://One.Net:80", "", "block"),
+        ("http://safe.net/", f"<!-- {link('http://q.com/de/')} -->", "allow"), ("http://safe.net/2", f"<script>x = '{link('http://q.com/de/')}'</script>", "allow"), ("http://safe.net/3", f"<!-- open {link('http://q.com/de/')}", "allow"),
+        ("http://two.net/A?x=1&y=2", "", "allow"), ("https://two.net/a?x=1&y=2", "", "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(aliases)], PAGES)
+    got = {r.page_id: r.verdict for r in U.filter_urls(pages).collect()}
+    assert got == {i: v for i, (*_, v) in enumerate(aliases)}
+
+
+def test_against_a_walk(spark):
+    """Random links, repeated rows, clashing columns and long values, against a walk over the graph."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    urls = [f"http://h{i}.{rng.choice(['net', 'net', 'net', 'com/de', 'com/fr', 'org'])}/p{i}" for i in range(150)] + ["http://long.net/" + "x" * 100_000, None]
+    pages = [(u, link(rng.choice(urls[:-1])) + "y" * rng.choice([0, 0, 300_000]) if rng.random() < 0.6 else None) for u in urls]
+    pages += [pages[3], pages[3], (urls[5], link(urls[9]))]
+    near = {}
+    for u, h in pages:
+        if u and h:
+            to = h.split('href="')[1].split('"')[0]
+            near.setdefault(u, set()).add(to)
+            near.setdefault(to, set()).add(u)
+    own = lambda u: "block" if ".com/de" in u else "allow" if ".com/fr" in u or ".org" in u else None
+
+    def verdict(u):
+        if u is None or own(u):
+            return own(u) if u else "allow"
+        seen, todo = {u}, [u]
+        while todo:
+            for v in near.get(todo.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        rules = {own(v) for v in seen}
+        return "block" if "block" in rules and "allow" not in rules else "allow"
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], PAGES)
+    for name in ("node", "root", "a", "b", "host", "path", "rule", "verdict", "to", "own", "__alias", "u", "v"):
+        df = df.withColumn(name, F.lit("x"))
+    got = {r.page_id: r.verdict for r in U.filter_urls(df).collect()}
+    assert got == {i: verdict(u) for i, (u, _) in enumerate(pages)} and "block" in {got[i] for i, (u, _) in enumerate(pages) if u and not own(u)}
