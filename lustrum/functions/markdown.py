@@ -3,13 +3,15 @@
 Blocks: quotes, lists, fenced and indented code, headings, HTML blocks, tables, link
 definitions, paragraphs.  Inline: code spans, escapes, raw HTML, links, images,
 autolinks.  Emphasis isn't resolved, so markup inside it belongs to its paragraph.
-Everything keeps offsets into the source.
+Everything keeps offsets into the source, and nothing is searched for twice from places
+that can't find it, so that hostile text takes linear time.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from . import html as H
@@ -69,9 +71,15 @@ def source_lines(text: str) -> list[Line]:
     return out
 
 
+_LEAD = re.compile(r"[ \t]*")
+
+
+def _blank(text: str) -> bool:
+    return not text or text.isspace()
+
+
 def _indent(text: str) -> int:
-    wide = text.expandtabs(4)
-    return len(wide) - len(wide.lstrip(" "))
+    return len(_LEAD.match(text)[0].expandtabs(4))
 
 
 def _starts_html(text: str, in_paragraph: bool):
@@ -86,7 +94,7 @@ def _starts_html(text: str, in_paragraph: bool):
 
 def _interrupts(text: str) -> bool:
     """Whether a line ends the paragraph before it."""
-    if not text.strip() or _starts_html(text, True) or _FENCE.match(text) or _HEADING.match(text) or _RULE.match(text):
+    if _blank(text) or _starts_html(text, True) or _FENCE.match(text) or _HEADING.match(text) or _RULE.match(text):
         return True
     bullet = _BULLET.match(text)
     return text.lstrip(" ").startswith(">") and _indent(text) < 4 or bool(bullet and text[bullet.end() :].strip() and bullet[2] in ("-", "+", "*", "1.", "1)"))
@@ -108,7 +116,7 @@ def _blocks(lines: list[Line], doc: Document, todo: list) -> None:
     i, n = 0, len(lines)
     while i < n:
         text = lines[i].text
-        if not text.strip():
+        if _blank(text):
             i += 1
         elif _indent(text) > 3:
             i += 1  # indented code
@@ -125,7 +133,7 @@ def _blocks(lines: list[Line], doc: Document, todo: list) -> None:
             i += 1
         elif opened := _starts_html(text, False):
             i = _html_block(lines, i, opened[0], doc)
-        elif text.lstrip(" ").startswith(">"):
+        elif text.startswith(">", len(_LEAD.match(text)[0])):
             i = _quote(lines, i, todo)
         elif bullet := _BULLET.match(text):
             i = _item(lines, i, bullet, todo)
@@ -173,12 +181,16 @@ def _item(lines: list[Line], i: int, bullet: re.Match, todo: list) -> int:
     i += 1
     while i < len(lines):
         text = lines[i].text
-        if not text.strip():
-            ahead = next((x.text for x in lines[i:] if x.text.strip()), "")
-            if _indent(ahead) < width:
+        if _blank(text):
+            ahead = i
+            while ahead < len(lines) and _blank(lines[ahead].text):
+                ahead += 1
+            if ahead == len(lines) or _indent(lines[ahead].text) < width:
                 break
-            inner.append(_cut(lines[i], len(text)))
-        elif _indent(text) >= width:
+            inner += [_cut(x, len(x.text)) for x in lines[i:ahead]]
+            i = ahead
+            continue
+        if _indent(text) >= width:
             inner.append(_cut(lines[i], min(width, len(text) - len(text.lstrip(" \t")))))
         elif inner[-1].text.strip() and not _interrupts(text) and not _BULLET.match(text):
             inner.append(lines[i])
@@ -215,15 +227,12 @@ def _paragraph(lines: list[Line], i: int, doc: Document) -> int:
         if _UNDERLINE.match(lines[i].text):
             break
         i += 1
-    own, text = lines[first:i], "\n".join(x.text for x in lines[first:i])
-    while m := _DEFINITION.match(text):
+    text, at, skip = "\n".join(x.text for x in lines[first:i]), 0, 0
+    while at < len(text) and (m := _DEFINITION.match(text, at)):
         doc.definitions.append(_plain(m[2] if m[2] is not None else m[3]))
-        text = text[m.end() + 1 :]
-        own = own[text_lines(m[0]) :]
-        if not text.strip():
-            break
-    if text.strip():
-        doc.phrases.append(own)
+        at, skip = m.end() + 1, skip + text_lines(m[0])
+    if not _blank(text[at:]):
+        doc.phrases.append(lines[first + skip : i])
     if i < len(lines) and _UNDERLINE.match(lines[i].text):
         i += 1
     return i
@@ -250,20 +259,76 @@ class _Source:
 
     def __init__(self, lines: list[Line]):
         self.text = "\n".join(x.text for x in lines)
-        self.starts, at = [], 0
+        self.own, self.sources, at = [], [], 0
         for x in lines:
-            self.starts.append((at, x.at))
+            self.own.append(at)
+            self.sources.append(x.at)
             at += len(x.text) + 1
         self.end = lines[-1].at + len(lines[-1].text)
 
     def offset(self, i: int) -> int:
-        own, src = next((s for s in reversed(self.starts) if s[0] <= i), self.starts[0])
-        return src + i - own
+        k = bisect_right(self.own, i) - 1
+        return self.sources[k] + i - self.own[k]
+
+
+class _Parens:
+    """Which parentheses of a text belong together within its runs without blanks."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.close: dict[int, int] = {}  # of an opening one
+        self.open_last: dict[int, int] = {}  # run's end: the last one that nothing closes
+        self.close_first: dict[int, int] = {}  # run's end: the first one that nothing opened
+        self.ends = [m.start() for m in re.finditer(r"[ \t\n]|\Z", text)]
+        waiting: list[int] = []
+        for m in re.finditer(rf"\\[{re.escape(_PUNCTUATION)}]|[()]|[ \t\n]|\Z", text):
+            at, ch = m.start(), m[0]
+            if ch == "(":
+                waiting.append(at)
+            elif ch == ")" and waiting:
+                self.close[waiting.pop()] = at
+            elif ch == ")":
+                self.close_first.setdefault(self.end(at), at)
+            elif len(ch) < 2:
+                if waiting:
+                    self.open_last[at] = waiting[-1]
+                waiting = []
+
+    def end(self, at: int) -> int:
+        """Where the run that ``at`` is in ends."""
+        return self.ends[bisect_left(self.ends, at)]
+
+    def url_end(self, paren: int, start: int) -> int | None:
+        """Where a destination from ``start`` ends, behind the link's opening parenthesis."""
+        end = self.end(start)
+        if start > paren + 1:  # blanks between: a run of its own
+            return self.close_first.get(end, None if end in self.open_last else end)
+        return self.close.get(paren, end if self.open_last.get(end) == paren else None)
+
+
+#: what opens and closes raw markup that runs on to its end
+_OPENED = (("<!--", "-->"), ("<?", "?>"), ("<![CDATA[", "]]>"), ("<!", ">"))
+
+
+class _Closers:
+    """Whether markup that opens at some place closes; places are asked about in order."""
+
+    def __init__(self, text: str):
+        self.text, self.missing = text, set()
+
+    def closes(self, at: int) -> bool:
+        for opening, closing in _OPENED:
+            if self.text.startswith(opening, at):
+                if closing not in self.missing and self.text.find(closing, at + 2) < 0:
+                    self.missing.add(closing)
+                return closing not in self.missing
+        return True
 
 
 def inline(lines: list[Line]) -> Inline:
     src = _Source(lines)
     text, out, i = src.text, Inline(end=src.end), 0
+    closers, parens = _Closers(text), _Parens(text) if "](" in text else None
     brackets: list[tuple[int, bool]] = []
     runs = {}
     for m in re.finditer("`+", text):
@@ -274,12 +339,13 @@ def inline(lines: list[Line]) -> Inline:
             i += 2
         elif ch == "`":
             size = len(re.compile("`+").match(text, i)[0])
-            close = next((p for p in runs.get(size, ()) if p >= i + size), None)
-            i = i + size if close is None else close + size
+            alike = runs.get(size, ())
+            k = bisect_left(alike, i + size)
+            i = alike[k] + size if k < len(alike) else i + size
         elif ch == "<" and (m := _AUTOLINK.match(text, i)):
             out.urls.append((m[1], False))
             i = m.end()
-        elif ch == "<" and (m := _INLINE_MARKUP.match(text, i)):
+        elif ch == "<" and closers.closes(i) and (m := _INLINE_MARKUP.match(text, i)):
             out.markup.append((src.offset(i), m[0]))
             i = m.end()
         elif ch == "!" and text[i + 1 : i + 2] == "[":
@@ -289,7 +355,7 @@ def inline(lines: list[Line]) -> Inline:
             brackets.append((i, False))
             i += 1
         elif ch == "]":
-            i = _link_end(text, i, brackets, out)
+            i = _link_end(text, i, brackets, out, parens)
         elif ch in "hHwW" and (i == 0 or text[i - 1] in " \t\n*_~(") and (m := _BARE.match(text, i)):
             url = _trimmed(m[0])
             out.urls.append((url if "://" in url[:8] else f"http://{url}", False))
@@ -301,23 +367,29 @@ def inline(lines: list[Line]) -> Inline:
 
 def _trimmed(url: str) -> str:
     """A bare URL without the punctuation that ends the sentence around it."""
-    while url:
-        if url[-1] in "?!.,:*_~'\"" or (url[-1] == ")" and url.count(")") > url.count("(")):
-            url = url[:-1]
-        elif m := re.search(r"&[a-zA-Z0-9]+;\Z", url):
-            url = url[: m.start()]
+    end, spare = len(url), url.count(")") - url.count("(")
+    while end:
+        if url[end - 1] in "?!.,:*_~'\"":
+            end -= 1
+        elif url[end - 1] == ")" and spare > 0:
+            end, spare = end - 1, spare - 1
+        elif url[end - 1] == ";" and (m := _REFERENCE.fullmatch(url, max(0, url.rfind("&", 0, end)), end)):
+            end = m.start()
         else:
             break
-    return url
+    return url[:end]
+
+
+_REFERENCE = re.compile("&[a-zA-Z0-9]+;")
 
 
-def _link_end(text: str, i: int, brackets: list, out: Inline) -> int:
+def _link_end(text: str, i: int, brackets: list, out: Inline, parens: _Parens | None) -> int:
     if not brackets:
         return i + 1
     _, image = brackets.pop()
     if text[i + 1 : i + 2] != "(":
         return i + 1
-    found = _destination(text, i + 2)
+    found = _destination(text, i + 1, parens)
     if found is None:
         return i + 1
     url, end = found
@@ -327,30 +399,25 @@ def _link_end(text: str, i: int, brackets: list, out: Inline) -> int:
     return end
 
 
+_ANGLED, _BLANKS = re.compile(r"<((?:[^<>\n\\]|\\.)*)>"), re.compile(r"\s*")
 _TITLE = re.compile(r"""\s+(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\))""", re.S)
 
 
-def _destination(text: str, i: int) -> tuple[str, int] | None:
-    """(url, end) of an inline link's parenthesis whose content starts at ``i``."""
-    i += len(text[i:]) - len(text[i:].lstrip())
+def _destination(text: str, paren: int, parens: _Parens) -> tuple[str, int] | None:
+    """(url, end) of an inline link whose parenthesis opens at ``paren``."""
+    i = _BLANKS.match(text, paren + 1).end()
     if text[i : i + 1] == "<":
-        m = re.compile(r"<((?:[^<>\n\\]|\\.)*)>").match(text, i)
-        if not m:
+        if not (m := _ANGLED.match(text, i)):
             return None
         url, i = m[1], m.end()
     else:
-        start, depth = i, 0
-        while i < len(text) and text[i] not in " \t\n" and not (text[i] == ")" and depth == 0):
-            if text[i] == "\\" and text[i + 1 : i + 2] in _PUNCTUATION:
-                i += 1
-            depth += (text[i : i + 1] == "(") - (text[i : i + 1] == ")")
-            i += 1
-        url = text[start:i]
-        if depth:
+        end = parens.url_end(paren, i)
+        if end is None:
             return None
+        url, i = text[i:end], end
     if m := _TITLE.match(text, i):
         i = m.end()
-    i += len(text[i:]) - len(text[i:].lstrip())
+    i = _BLANKS.match(text, i).end()
     return (_plain(url), i + 1) if text[i : i + 1] == ")" else None
 
 

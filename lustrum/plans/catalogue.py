@@ -110,11 +110,12 @@ def scattered_count(spark, sf_dir):
     return _table(spark, sf_dir, "documents").withColumn("t", t).select("doc_id", instructions.scattered_count(F.col("t")).alias("scattered"))
 
 
-@query(f"with {_DOCS_SQL}, c as (select unnest(string_split(substr(t, 1, 1) || substr(t, length(t) - 1), '')) as ch from d) select case {' '.join(f'''when regexp_matches(ch, '^[{body}]$') then '{code}' ''' for code, body in _CODES.items())} end as code, count(*) as n from c group by all")
-def edge_categories(spark, sf_dir):
-    t = F.col("t")
-    ends = F.concat(F.substring(t, 1, 1), F.substring(t, -2, 2))
-    return _docs(spark, sf_dir).select(F.explode(F.split(ends, "")).alias("ch")).where("ch != ''").groupBy(L.classify(F.col("ch")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+@query(f"with {_DOCS_SQL}, c as (select unnest(string_split(regexp_replace(t, '[\\x20-\\x7e\\n]', '', 'g'), '')) as ch from d) select * from (select case {' '.join(f'''when regexp_matches(ch, '^[{body}]$') then '{code}' ''' for code, body in _CODES.items())} end as code, count(*) as n from c group by all) where code is not null")
+def character_categories(spark, sf_dir):
+    """Every character of the whole texts by category; characters are counted before they are classified."""
+    odd = F.regexp_replace("t", r"[\x20-\x7e\n]", "")  # printable ASCII has no category
+    chars = _docs(spark, sf_dir).select(F.explode(F.split(odd, "")).alias("ch")).where("ch != ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return chars.groupBy(L.classify(F.col("ch")).alias("code")).agg(F.sum("n").alias("n")).where("code is not null")
 
 
 @query(f"with {_DOCS_SQL} select doc_id, regexp_replace(t, '[{_INV}]', '', 'g') as plain, regexp_matches(t, '[{_INV}]') as held from d")
@@ -192,10 +193,10 @@ def confusable_fold(spark, sf_dir):
     return parts.select("p_partkey", confusables.fold_map(F.col("t"), _GLYPHS).alias("folded"), confusables.has_non_ascii(F.col("t")).alias("touched"))
 
 
-@query("select p_partkey, 'file_path (U+0430 → \"a\")' as normalized, 'a/' || p_partkey as file_path from part where p_partkey % 4 = 0")
+@query("select p_partkey, 'file_path (U+0430 → \"a\")' as normalized, 'a/' || p_name as file_path from part where p_partkey % 4 = 0")
 def confusable_calls(spark, sf_dir):
     parts = _table(spark, sf_dir, "part")
-    path = F.concat(F.when(F.col("p_partkey") % 4 == 0, "а").otherwise("a"), F.lit("/"), F.col("p_partkey").cast("string"))
+    path = F.concat(F.when(F.col("p_partkey") % 4 == 0, "а").otherwise("a"), F.lit("/"), F.col("p_name"))
     calls = parts.select("p_partkey", F.lit("Edit").alias("tool"), F.create_map(F.lit("file_path"), path, F.lit("old_string"), F.lit("а")).alias("input"))
     out = confusables.normalize_calls(calls, _GLYPHS).where(F.col("normalized").isNotNull())
     return out.select("p_partkey", F.array_join("normalized", ", ").alias("normalized"), F.element_at("updated_input", "file_path").alias("file_path"))
@@ -245,11 +246,14 @@ def reported_tags(spark, sf_dir):
 _BOX = '<div style="display:none">canary</div>'
 
 
-@query(f"select page_id, 'before [hidden HTML removed] behind' as cleaned from pages where page_id % 2 = 0 union all select page_id, 'before <b>seen</b> behind' from pages where page_id % 2 = 1")
+_COMMENTS_SQL = "regexp_replace(html, '<!--(.|\\n)*?-->', '[HTML comment removed]', 'g')"
+
+
+@query(f"select page_id, case when page_id % 2 = 0 then 'before [hidden HTML removed] behind' else 'before <b>seen</b> behind' end || chr(10) || chr(10) || {_COMMENTS_SQL} as cleaned from pages")
 def hidden_inline(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
     t = F.when(F.col("page_id") % 2 == 0, F.lit(f"before {_BOX.replace('div', 'span')} behind")).otherwise(F.lit("before <b>seen</b> behind"))
-    return pages.select("page_id", t.alias("t")).select("page_id", F.coalesce(hidden.sanitize_html(F.col("t"))["text"], F.col("t")).alias("cleaned"))
+    return pages.select("page_id", F.concat(t, F.lit("\n\n"), "html").alias("t")).select("page_id", F.coalesce(hidden.sanitize_html(F.col("t"))["text"], F.col("t")).alias("cleaned"))
 
 
 @query("select count(*) filter (regexp_matches(html, '<[a-zA-Z/!?][^<>]*>')) as tagged, count(*) filter (len(string_split(html, chr(10))) >= 5 and len(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, '</?[a-zA-Z][^<>]*>'))) / len(string_split(html, chr(10))) > 0.3) as source_like, count(*) filter (regexp_matches(html, '\\]\\(|!\\[')) as linked from pages")
@@ -258,26 +262,35 @@ def html_gates(spark, sf_dir):
     return _table(spark, sf_dir, "pages").agg(F.count_if(hidden.tag_present(h)).alias("tagged"), F.count_if(hidden.looks_like_source(h)).alias("source_like"), F.count_if(exfil.link_hint(h)).alias("linked"))
 
 
-_RANGE_SQL = """r as (select doc_id, (i * (doc_id % 7 + 3)) % 97 as s, (i * (doc_id % 7 + 3)) % 97 + (i * 5 + doc_id) % 23 + 1 as e, case when i % 3 = 0 then 'hidden' else 'comment' end as kind from documents, range(12) t(i)),
+_RANGE_SQL = """r as (select doc_id, (i * (length(text) % 7 + 3)) % 97 as s, (i * (length(text) % 7 + 3)) % 97 + (i * 5 + length(text)) % 23 + 1 as e, case when i % 3 = 0 then 'hidden' else 'comment' end as kind from documents, range(12) t(i)),
 o as (select *, max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) as m from r),
 k as (select *, sum(case when m is null or s >= m then 1 else 0 end) over (partition by doc_id order by s, e rows unbounded preceding) as island from o)"""
 
 
 @query(f'with {_RANGE_SQL} select doc_id, min(s)::bigint as "start", max(e)::bigint as "end", max(kind) as kind from k group by doc_id, island')
 def range_merge(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
-    s = (F.col("i") * (F.col("doc_id") % 7 + 3)) % 97
-    ranges = docs.select("doc_id", s.alias("start"), (s + (F.col("i") * 5 + F.col("doc_id")) % 23 + 1).alias("end"), F.when(F.col("i") % 3 == 0, "hidden").otherwise("comment").alias("kind"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
+    s = (F.col("i") * (F.col("n") % 7 + 3)) % 97
+    ranges = docs.select("doc_id", s.alias("start"), (s + (F.col("i") * 5 + F.col("n")) % 23 + 1).alias("end"), F.when(F.col("i") % 3 == 0, "hidden").otherwise("comment").alias("kind"))
     return hidden.merge_ranges(ranges, "doc_id")
 
 
-_STYLES = ("display:none", "opacity:0.001", "opacity:0px", "color:#fff;background:white", "position:absolute;left:-9999px", "left:-9999px", "transform:rotateY(90deg)", "margin:0", "font-size:0")
+#: styles, and whether each hides
+_STYLES = (
+    ("display:none", True), ("opacity:0.001", True), ("opacity:0px", False), ("color:#fff;background:white", True), ("position:absolute;left:-9999px", True), ("left:-9999px", False), ("transform:rotateY(90deg)", True),
+    ("margin:0", False), ("font-size:0", True), ("text-indent:-9999px", True), ("text-indent:2em", False), ("clip-path:inset(100%)", True), ("clip-path:circle(50%)", False), ("filter:opacity(0)", True),
+    ("filter:blur(1px)", False), ("overflow:hidden;height:0", True), ("overflow:hidden;height:10px", False), ("DISPLAY : None !important", True), ("display:none /* open", False), ("visibility:collapse", True),
+)
 
 
-@query("select page_id, [true, true, false, true, true, false, true, false, true][(page_id % 9) + 1] as hidden from pages")
+@query(f"select page_id, {[h for _, h in _STYLES]}[(page_id % {len(_STYLES)}) + 1] as hidden, {_COMMENTS_SQL} as rest from pages")
 def hidden_styles(spark, sf_dir):
-    style = F.get(F.array(*[F.lit(s) for s in _STYLES]), (F.col("page_id") % len(_STYLES)).cast("int"))
-    return _table(spark, sf_dir, "pages").select("page_id", style.alias("s")).select("page_id", hidden.hidden_style(F.col("s")).alias("hidden"))
+    """A styled element before each whole page: whether its text is gone, and what is left of the page."""
+    style = F.get(F.array(*[F.lit(s) for s, _ in _STYLES]), (F.col("page_id") % len(_STYLES)).cast("int"))
+    t = F.concat(F.lit('<div style="'), style, F.lit('">canary</div>\n'), "html")
+    pages = settled(_table(spark, sf_dir, "pages").withColumn("t", t), c=F.coalesce(hidden.sanitize_html(F.col("t"))["text"], F.col("t")))
+    lead = F.regexp_extract("c", r"\A[^\n]*\n", 0)
+    return pages.select("page_id", (~F.contains(lead, F.lit("canary"))).alias("hidden"), F.substring("c", F.length(lead) + 1, F.lit(2**31 - 1)).alias("rest"))
 
 
 # ── C: exfiltration ──
@@ -306,15 +319,22 @@ def exfil_urls(spark, sf_dir):
 
 _LINKS = (
     ("[a](https://evil.example/?q=" + "QUJD" * 12 + ")", "link to evil.example: suspicious query parameter"),
-    ("![i](javascript:alert(1))", "image to (unparsable URL): script-executing URI"),
+    ("![i](javascript:alert(1))", "image to : script-executing URI"),
     ('<form action="https://evil.example/x"></form>', "link to evil.example: off-origin form action"),
     ("[ok](https://fine.example/a?page=2)", None),
+    ("[d](data:text/html,hello)", "link to (inline data: URI): active-content data: URI"),
+    ("![d](data:image/png;base64,AAAA)", None),
+    ("[u](https://user:pass@evil.example/)", "link to evil.example: embedded credentials"),
+    ("[k](https://evil.example/a#session=" + "QUJD" * 12 + ")", "link to evil.example: suspicious query parameter"),
+    ("[b](https://fine.example/?sig=" + "QUJD" * 12 + ")", None),
+    ("[r]: https://evil.example/?a={{b}}\n\n[r]", "link to evil.example: suspicious query parameter"),
 )
 
 
-@query(f"select page_id, case page_id % {len(_LINKS)} when 0 then {sql_string(_LINKS[0][1])} when 1 then 'image to : script-executing URI' when 2 then {sql_string(_LINKS[2][1])} end as reasons from pages")
+@query(f"select page_id, case page_id % {len(_LINKS)} {' '.join(f'when {k} then {sql_string(r)}' for k, (_, r) in enumerate(_LINKS) if r)} end as reasons from pages")
 def exfil_in_text(spark, sf_dir):
-    t = F.concat(F.lit("see "), F.get(F.array(*[F.lit(x) for x, _ in _LINKS]), (F.col("page_id") % len(_LINKS)).cast("int")))
+    """A link before each whole page; the pages' own links carry nothing out."""
+    t = F.concat(F.get(F.array(*[F.lit(x) for x, _ in _LINKS]), (F.col("page_id") % len(_LINKS)).cast("int")), F.lit("\n\n"), "html")
     pages = _table(spark, sf_dir, "pages").select("page_id", t.alias("t")).withColumn("x", exfil.detect_exfil(F.col("t")))
     return pages.select("page_id", F.array_join(exfil.reasons(F.col("x")), "; ").alias("reasons"))
 
@@ -358,10 +378,10 @@ def redact_map_roundtrip(spark, sf_dir):
 _BROKEN = "ghp_" + "Ab1" * 6 + "\n" + "Cd2" * 6
 
 
-@query(f"select doc_id, case doc_id % 4 when 0 then 'x [REDACTED: GitHub Token] y' when 1 then 'x [REDACTED: SERVICE_KEY] y' when 2 then 'x [REDACTED: Private Key]' else 'x y' end as cleaned from documents")
+@query(f"select doc_id, case doc_id % 4 when 0 then 'x [REDACTED: GitHub Token] y' when 1 then 'x [REDACTED: SERVICE_KEY] y' when 2 then 'x [REDACTED: Private Key]' else 'x y' end || chr(10) || {_TOKEN_SQL} as cleaned from documents")
 def redact_shapes(spark, sf_dir):
     kinds = F.array(*[F.lit(s) for s in (f"x {_BROKEN} y", "x v​ery-private-value-1 y", "x -----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "x y")])
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % 4).cast("int")).alias("t"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.get(kinds, (F.col("doc_id") % 4).cast("int")), F.lit("\n"), "text").alias("t"))
     # the exact value is found although an invisible character was put into it
     return docs.select("doc_id", redact.redact(F.col("t"), Config(provider_vars={"SERVICE_KEY": "very-private-value-1"}, web_ingress=True))["text"].alias("cleaned"))
 
@@ -372,9 +392,15 @@ def key_blocks(spark, sf_dir):
     return _table(spark, sf_dir, "documents").withColumn("t", t).select("doc_id", redact.key_blocks(F.col("t")).alias("cleaned"))
 
 
-@query(f"select doc_id, 'key ******** end' as preview from documents where doc_id % 6 = 0")
+@query(
+    f"""with l as (select doc_id, unnest(string_split(case when doc_id % 6 = 0 then text || chr(10) || 'key {_SECRET} end' else text end, chr(10))) as line from documents),
+m as (select doc_id, trim(regexp_replace(replace(line, '{_SECRET}', '********'), 'token = "[0-9a-f]{{40}}"', 'token = "********"', 'g')) as s from l where contains(line, '{_SECRET}') or regexp_matches(line, 'token = "[0-9a-f]{{40}}"')),
+p as (select *, position('********' in s) + 7 as z from m)
+select distinct doc_id, case when length(s) <= 88 then s when z <= 85 then substr(s, 1, z) else '...' || substr(s, z - 84, 85) end as preview from p"""
+)
 def secret_previews(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 6 = 0").select("doc_id", F.lit(f"a\nkey {_SECRET} end\nb").alias("t"))
+    t = F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit(f"\nkey {_SECRET} end"))).otherwise(F.col("text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return docs.select("doc_id", F.explode(redact.previews(F.col("t"))).alias("preview"))
 
 
@@ -386,10 +412,10 @@ def value_walk_props(spark, sf_dir):
     return events.select("event_id", F.col("v.value").alias("value"), F.col("v.modified").alias("modified"))
 
 
-@query("select d.doc_id, replace(replace(d.text, 'the ', ''), l.q || '', '') as cleaned, (length(d.text) - length(replace(d.text, 'the ', ''))) // 4 + length(replace(d.text, 'the ', '')) - length(replace(replace(d.text, 'the ', ''), l.q, '')) as removed from documents d join (select doc_id, quality::varchar as q from labels) l using (doc_id)")
+@query("with c as (select d.doc_id, d.text, replace(d.text, 'the ', '') as one, l.q from documents d left join (select doc_id, quality::varchar as q from labels) l using (doc_id)), e as (select *, case when q is null then one else replace(one, q, '') end as two from c) select doc_id, two as cleaned, (length(text) - length(one)) // 4 + length(one) - length(two) as removed from e")
 def delete_spans(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("q"))
-    out = docs.join(labels, "doc_id").select("doc_id", output.delete_spans(F.col("text"), F.array(F.lit("the "), F.lit(""), F.col("q"))).alias("s"))
+    out = docs.join(labels, "doc_id", "left").select("doc_id", output.delete_spans(F.col("text"), F.array(F.lit("the "), F.lit(""), F.col("q"))).alias("s"))
     return out.select("doc_id", F.col("s.text").alias("cleaned"), F.col("s.removed").cast("long").alias("removed"))
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lustrum import constants as K
 from lustrum.functions import css, html, markdown
+from lustrum.operators import exfil
 from lustrum.operators import hidden as H
 
 HIDDEN = """
@@ -161,3 +164,30 @@ def test_columns(spark):
     got = tags.select(H.describe_warned(F.col("w")).alias("a"), H.describe_warned_output(F.col("w")).alias("b")).first()
     assert got.a == "Preserved but reported (page source kept inspectable): script×1, style×1"
     assert got.b.startswith("Scripting/resource content present and preserved (1 <script>, 1 <style>) — ")
+
+
+N = 30_000
+HOSTILE = {
+    "unclosed links": "[](" * N, "backticks": "`a " * N, "definitions": "[a]: <\n" * N, "comments": "x <!--" * N, "instructions": "x <?" * N, "cdata": "x <![CDATA[" * N, "declarations": "x <!a " * N,
+    "parentheses": "http://a" + ")" * N, "stops": "www.a" + "." * N, "blank lines": "- a" + "\n" * N + "b", "quotes": "> " * N, "closed links": "[](" * N + ")" * N, "blank links": "[]( " * N, "tags": 'x <a b="' * N,
+}
+
+
+@pytest.mark.parametrize("text", HOSTILE.values(), ids=HOSTILE)
+def test_hostile_markdown_takes_linear_time(text):
+    start = time.monotonic()
+    markdown.links(text)
+    H.sanitize(text + "<b>")
+    assert time.monotonic() - start < 5
+
+
+def test_hostile_markdown_as_columns(spark):
+    start = time.monotonic()
+    df = spark.createDataFrame([(t,) for t in HOSTILE.values()], "t string")
+    assert df.select(exfil.detect_exfil(F.col("t")).alias("x"), H.sanitize_html(F.col("t")).alias("h")).collect()
+    assert time.monotonic() - start < 40
+
+
+def test_parentheses_in_destinations():
+    cases = [("[a](b(c)d)", "b(c)d"), (r"[a](b\(c)", "b(c"), ("[a](b(c)", None), ("[a]( b )", "b"), ("[a](b (t))", "b"), ("[a](b) c)", "b"), ('[a](b "t")', "b"), ("[a](b c)", None), ("[a]((b)", None), ("x) [a](b)", "b"), ("( [a](b)", "b"), ("([a](b)", "b"), ("[a]()", "")]
+    assert [(t, dict(markdown.links(t)) and markdown.links(t)[0][0] if markdown.links(t) else None) for t, _ in cases] == cases
