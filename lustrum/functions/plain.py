@@ -6,6 +6,7 @@ from binary with ``surrogatepass``.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
 from dataclasses import dataclass
@@ -24,6 +25,22 @@ INTRODUCER = re.compile("[\x1b\x80-\x9f]")
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
 
+def _spelt(error: UnicodeError) -> tuple[str, int]:
+    """Half a surrogate pair where bytes spell one, else a replacement character."""
+    try:
+        return codecs.lookup_error("surrogatepass")(error)
+    except UnicodeError:
+        return "\ufffd", error.end
+
+
+codecs.register_error("lustrum.spelt", _spelt)
+
+
+def decoded(raw: bytes) -> str:
+    """UTF-8 that may spell lone surrogates; what else is malformed is replaced, so that no bytes fail."""
+    return raw.decode("utf-8", "lustrum.spelt")
+
+
 def drop_escapes(text: str) -> str:
     """Escape sequences deleted until none is left: deletions may join new ones."""
     if not INTRODUCER.search(text):

@@ -99,10 +99,10 @@ def scan_files(spark: SparkSession, globs: Iterable[str], cwd: str = ".") -> Dat
 
 def scan_table(files: DataFrame, cwd: str | None = None) -> DataFrame:
     """The same over a table of files (path, content binary), from any store."""
-    text = F.decode("content", "utf-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # malformed bytes become U+FFFD
     out = files.select("path", scan_text(text).alias("findings")).where(F.size("findings") > 0)
     root = "" if cwd is None else f"{os.path.abspath(cwd)}/"
-    return out.select(F.regexp_replace(F.regexp_replace("path", r"\Afile:/+", "/"), "\\A\\Q" + root + "\\E", "").alias("file"), "findings")
+    return out.select(F.regexp_replace(F.regexp_replace("path", r"\Afile:/+", "/"), "\\A\\Q" + root.replace("\\E", "\\E\\\\E\\Q") + "\\E", "").alias("file"), "findings")
 
 
 def clean_text(content: Column) -> Column:

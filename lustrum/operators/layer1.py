@@ -153,7 +153,7 @@ def _binary_layer1(raw: pd.Series) -> pd.DataFrame:
         if b is None:
             rows.append(None)
             continue
-        one = plain.layer1(bytes(b).decode("utf-8", "surrogatepass"))
+        one = plain.layer1(plain.decoded(bytes(b)))
         whole = plain.mend_surrogates(one.cleaned)
         lone = plain.has_lone_surrogate(one.cleaned)
         rows.append((whole, plain.mend_surrogates(one.de_ansi), one.found + [K.SURROGATES] * lone, lone))
@@ -161,7 +161,7 @@ def _binary_layer1(raw: pd.Series) -> pd.DataFrame:
 
 
 def layer1_binary(raw: Column) -> Column:
-    """The first layer over bytes that may spell lone surrogates, which become U+FFFD."""
+    """The first layer over bytes that may spell lone surrogates, which become U+FFFD, as other malformed bytes do."""
     return _binary_layer1(raw)
 
 

@@ -23,7 +23,7 @@ def align_deletions(content: pd.Series, cleaned: pd.Series) -> pd.Series:
 
 def occurrences(text: Column, part: Column) -> Column:
     """Offsets of a part's non-overlapping occurrences, without leaving Spark."""
-    pieces = F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
+    pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
     at = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p) + F.length(part))))
     ends = F.transform(F.slice(at, 2, F.size(pieces) - 1), lambda x: x - F.length(part))
     return F.when(part == "", F.array().cast("array<int>")).otherwise(F.when(F.size(pieces) > 1, ends).otherwise(F.array().cast("array<int>")))

@@ -15,8 +15,8 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None, recur
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, text of the same files, decoded as UTF-8."""
-    return read_files(spark, path, pattern).select("path", F.decode("content", "utf-8").alias("text"))
+    """path, text of the same files, decoded as UTF-8; malformed bytes become U+FFFD."""
+    return read_files(spark, path, pattern).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def write_texts(texts: DataFrame, path: str) -> None:

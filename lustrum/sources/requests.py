@@ -14,7 +14,9 @@ from .. import constants as K
 from ..functions.rows import settled
 from ..operators import output, prompt
 
-REQUEST = "op string, text string, html boolean, exfilScan boolean, _corrupt_record string"
+REQUEST = "op string, text variant, html variant, exfilScan variant, _corrupt_record string"
+#: values that flags read as false
+_FALSE = ("false", "null", "0", "-0", "0.0", "-0.0", '""')
 OPS = ("sanitize", "sanitizeText", "classifyPrompt")
 
 
@@ -32,11 +34,11 @@ def parse(lines: DataFrame, limit: int = K.MAX_REQUEST_BYTES) -> DataFrame:
         F.when(size > limit, F.concat(F.lit("request too large: "), size.cast("string"), F.lit(f" bytes exceeds the {limit}-byte limit")))
         .when(F.col("__r").isNull() | F.col("__r._corrupt_record").isNotNull(), "request is not a JSON object")
         .when(~op.isin(*OPS), F.concat(F.lit("unknown op: "), op))
-        .when(F.col("__r.text").isNull(), "request.text must be a string")
+        .when(~F.coalesce(F.schema_of_variant("__r.text") == "STRING", F.lit(False)), "request.text must be a string")
     )
-    flag = lambda c: F.coalesce(F.col(f"__r.{c}"), F.lit(False))
+    flag = lambda c: F.coalesce(~F.to_json(F.col(f"__r.{c}")).isin(*_FALSE), F.lit(False))
     out = df.withColumns({"op": op, "html": flag("html"), "exfil_scan": flag("exfilScan"), "error": error})
-    return out.withColumn("text", F.when(F.col("error").isNull(), F.col("__r.text"))).drop("__r")
+    return out.withColumn("text", F.when(F.col("error").isNull(), F.try_variant_get("__r.text", "$", "string"))).drop("__r")
 
 
 def _only(df: DataFrame, cond: Column) -> Column:

@@ -10,6 +10,8 @@ from lustrum import constants as K
 from lustrum.functions import anchors as A
 from lustrum.functions import plain, secrets
 from lustrum.functions.secrets import Config
+from lustrum.operators import instructions
+from lustrum.operators import layer1 as L1
 from lustrum.operators import output as O
 from lustrum.operators import rehydrate as H
 from lustrum.sources import files, requests
@@ -267,3 +269,25 @@ def test_files(spark, tmp_path):
     assert [r.text for r in got.collect()] == ["é"]
     files.write_texts(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_types_of_request_fields(spark):
+    lines = ['{"text": 5}', '{"text": {"a": 1}}', '{"text": null}', '{"text": "a<!-- c -->b", "html": 1}', '{"text": "a<!-- c -->b", "html": 0}', '{"text": "a<!-- c -->b", "html": ""}', '{"text": "a<!-- c -->b", "html": {}}', '{"text": "x\\u200by"}']
+    got = [json.loads(r.response) for r in requests.answer(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1)).collect()]
+    assert [g.get("error") for g in got[:3]] == ["request.text must be a string"] * 3
+    assert [g["cleaned"] for g in got[3:]] == ["a[HTML comment removed]b", "a<!-- c -->b", "a<!-- c -->b", "a[HTML comment removed]b", "xy"]
+
+
+def test_occurrences_of_any_part(spark):
+    cases = [("a\\Eb\\Eb", "\\Eb", [1, 4]), ("\\Q\\E", "\\E", [2]), ("a.b", ".", [1]), ("aaaa", "aa", [0, 2])]
+    df = spark.createDataFrame(cases, "t string, p string, at array<int>")
+    assert all(r.at == r.got for r in df.select("at", H.occurrences(F.col("t"), F.col("p")).alias("got")).collect())
+
+
+def test_malformed_bytes_end_no_job(spark):
+    raw = [b"a\xffb", b"\xed\xa0\x80x", b"\xf0\x9f\x98", "ok\u200b".encode()]
+    df = spark.createDataFrame([(bytearray(b),) for b in raw], "b binary").coalesce(1)
+    got = [r.l.cleaned for r in df.select(L1.layer1_binary(F.col("b")).alias("l")).collect()]
+    assert got == ["a\ufffdb", "\ufffdx", "\ufffd", "ok"]
+    files = spark.createDataFrame([("f", bytearray(b"\xff " + ("\u200b" * 12).encode()))], "path string, content binary")
+    assert [r.file for r in instructions.scan_table(files).collect()] == ["f"]
