@@ -6,7 +6,8 @@ import os
 from dataclasses import dataclass, field
 
 from . import constants as K
-from .functions import charset, plain
+from .functions import charset, plain, urls
+from .functions.secrets import Config
 from .operators import hidden, instructions, output
 from .operators import prompt as prompt_operator
 
@@ -25,7 +26,7 @@ class PromptVerdict:
 
 
 def sanitize(text: str, html: bool = False) -> SanitizeResult:
-    """Layer 1, and with ``html`` layer 2 (URLs are judged by the column form only)."""
+    """Layer 1, and with ``html`` layers 2 and 3; URLs are judged before anything is cut out."""
     one = plain.layer1(text)
     found = list(one.found)
     warnings = [plain.describe_stripped(found, one.de_ansi)] if found else []
@@ -33,6 +34,7 @@ def sanitize(text: str, html: bool = False) -> SanitizeResult:
     if plain.has_lone_surrogate(one.cleaned):
         found.append(K.SURROGATES)
         warnings.append(K.SURROGATE_NOTE)
+    shaped = urls.reasons(cleaned) if html else []
     if html and (got := hidden.sanitize(cleaned)):
         new, (comments, elements), (tags, data) = got
         if new != cleaned:
@@ -43,12 +45,15 @@ def sanitize(text: str, html: bool = False) -> SanitizeResult:
         if kept:
             warnings.append(f"Preserved but reported (page source kept inspectable): {', '.join(kept)}")
         cleaned = new
+    if shaped:
+        found.append(K.EXFIL)
+        warnings.append(f"Exfil-shaped URLs detected: {'; '.join(shaped)}")
     return SanitizeResult(cleaned, found, warnings)
 
 
-def sanitize_text(text: str, html: bool = False) -> tuple[str, list[str], bool]:
-    """(cleaned, warnings, modified)."""
-    return output.clean_plain(text, html, False, None)
+def sanitize_text(text: str, html: bool = False, exfil_scan: bool = False, config: Config | None = None) -> tuple[str, list[str], bool]:
+    """(cleaned, warnings, modified); ``config`` is that of the redaction, if there is to be one."""
+    return output.clean_plain(text, html, exfil_scan, config)
 
 
 def classify_prompt(prompt: str) -> PromptVerdict:

@@ -101,3 +101,26 @@ def test_longer_payloads_stay_flagged(spark):
 def test_extraction_never_fails(text):
     assert all(isinstance(u, str) for u, _ in markdown.links(text))
     assert all(isinstance(u, str) for u, *_ in html.attribute_urls(text))
+
+
+def test_one_url_at_a_time_is_judged_as_in_columns(spark):
+    import random
+
+    from lustrum import api
+    from lustrum.functions import urls
+
+    rng = random.Random(7)
+    blob = "QUJD" * 12
+    schemes = ["http://", "https://", "HTTP:", "//", "", "ftp://", "mailto:", "data:text/html,", "data:image/png,", "javascript:", "x://", "/", "\\\\", " https://", "ws:"]
+    hosts = ["evil.example", "u:p@h.example", "h.example:80", "h.example:8443", "h.example:99999", "[::1]", "a b", "@x", "", "exa_mple", "relative.invalid"]
+    paths = ["", "/", "/a/b", "/" + "Ab1" * 50, "/" + "a-" * 100, "/x%20y"]
+    tails = ["", "?q=" + blob, "?sig=" + blob, "?u=ghp_0123456789abcdefghij", "?a={{b}}", "#" + "z9" * 120, "#é" + "ü" * 60, "?a=" + "x-" * 120, "?session=" + blob, "#token=" + blob, "?a=1;key=" + "ab12" * 9, "?utm_x=" + "a" * 250, "?x#y#data=" + blob]
+    cases = [rng.choice(schemes) + rng.choice(hosts) + rng.choice(paths) + rng.choice(tails) for _ in range(1500)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "i int, u string")
+    rows = df.select("i", E.check_exfil_url(F.col("u")).alias("why"), E.url_host(F.col("u")).alias("host")).orderBy("i").collect()
+    assert [(u, r.why, r.host) for u, r in zip(cases, rows, strict=True)] == [(u, urls.reason(u), urls.target(u)) for u in cases]
+    text = f"[a](https://evil.example/?q={blob}) <form action='https://e.example/'></form> ![i](javascript:x)"
+    want = spark.createDataFrame([(text,)], "t string").select(E.reasons(E.detect_exfil(F.col("t"))).alias("r")).first().r
+    assert urls.reasons(text) == want and len(want) == 3
+    assert "; ".join(want) in api.sanitize(text, html=True).warnings[-1] and api.sanitize(text, html=True).found[-1] == "exfil-urls"
+    assert "; ".join(want) in api.sanitize_text(text, exfil_scan=True)[1][-1]
