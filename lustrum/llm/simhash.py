@@ -1,13 +1,16 @@
 """SimHash near-dedup over anchor points of a covering code.
 
 Fingerprints of 64 bits link when they differ in at most 4.  The word is laid out as
-three blocks, each padded to 23 bits; the anchors of a block are the 4096 words of the
-perfect binary Golay code, which covers every 23-bit word within radius 3.  Two linked
+three blocks, and the anchors of a block are the words of a covering code.  Two linked
 fingerprints differ in at most 2 bits over some two blocks, so some word between them
 is at most 1 bit from each: replicating every fingerprint to the anchors of all words
-within 1 bit of it, for each two blocks, puts the two under one anchor (about 11 of
-16.8 million anchors for each two blocks; radius plus the threshold's share on both
-sides, so an anchor holds all pairs within radius plus threshold of it).
+within 1 bit of it, for each two blocks, puts the two under one anchor (radius plus the
+threshold's share on both sides, so an anchor holds all pairs within radius plus
+threshold of it).  That holds for any code; which one is taken follows the number of
+distinct fingerprints, so that an anchor's share doesn't grow with the table: the Golay
+code (radius 3, about 11 of 16.8 million anchors for each two blocks), a shortened
+Hamming code (radius 1, about 29 of 2^34 and more), or all words (radius 0, 43 to 45 of
+2^42 and more).
 
 Only distinct fingerprints are replicated: copies share one.  Anchors that hold many are
 split into pairs of chunks, each compared in a task of bounded memory, and every comparison returns a spanning forest
@@ -23,7 +26,8 @@ empty table gives no rows; extra columns aren't read.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +45,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 2048
 #: split anchors that are broadcast at most (12 bytes each)
 BROADCAST = 100_000
+#: distinct fingerprints up to which the Golay and the Hamming code are taken: about 64 an anchor
+GOLAY_MOST, HAMMING_MOST = 10**8, 3 * 10**10
 _POLY = 0b101011100011  # fixed value: generator of the Golay code, x^11+x^9+x^7+x^6+x^5+x+1
 
 
@@ -93,23 +99,60 @@ def _nearest() -> np.ndarray:
     return table
 
 
-def _code(words: np.ndarray) -> np.ndarray:
-    """The 12 bits that name the anchor nearest to each word."""
+def _golay(words: np.ndarray) -> np.ndarray:
+    """The 12 bits that name the word of the Golay code nearest to each word of up to 23 bits."""
     return (words.astype(np.uint32) ^ _nearest()[_syndrome(words)]) >> np.uint32(11)
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _flips() -> tuple[np.ndarray, np.ndarray]:
+    """Of the Hamming code of 31 bits, each bit's remainder, and for each remainder the bit that leaves it.
+
+    The five bits that check the others come first, so that a word's other bits name it.
+    """
+    columns = np.array(sorted(range(1, 32), key=lambda c: (c.bit_count() > 1, c)), np.uint32)
+    errors = np.zeros(32, np.uint32)
+    errors[columns] = np.uint32(1) << np.arange(31, dtype=np.uint32)
+    return columns, errors
+
+
+def _hamming(words: np.ndarray) -> np.ndarray:
+    """The 26 bits that name the word of the Hamming code nearest to each word of up to 31 bits."""
+    columns, errors = _flips()
+    words, r = words.astype(np.uint32), np.zeros(words.shape, np.uint32)
+    for bit, column in enumerate(columns):
+        r ^= np.where(words >> np.uint32(bit) & np.uint32(1), column, np.uint32(0))
+    return (words ^ errors[r]) >> np.uint32(5)
+
+
+@dataclass(frozen=True)
+class Code:
+    """A covering code of a block's words: the name of the nearest anchor, and how many bits a name has."""
+
+    name: Callable[[np.ndarray], np.ndarray]
+    bits: int
+
+
+CODES = (Code(_golay, 12), Code(_hamming, 26), Code(lambda words: words.astype(np.uint32), 22))
+
+
+def code_for(n: int) -> Code:
+    """The code whose anchors hold few of ``n`` distinct fingerprints."""
+    return CODES[(n > GOLAY_MOST) + (n > HAMMING_MOST)]
+
+
+def anchors(fp: np.ndarray, code: Code = CODES[0]) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of each replica of the fingerprints ``fp`` (uint64)."""
     own, near = [], []
     for first, width in BLOCKS:
         word = (fp >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.uint32)
-        own.append(_code(word))
-        near.append(np.stack([_code(word ^ np.uint32(1 << b)) for b in range(width)], axis=1))
+        own.append(code.name(word))
+        near.append(np.stack([code.name(word ^ np.uint32(1 << b)) for b in range(width)], axis=1))
     out = []
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        a = own[i][:, None].astype(np.int64) << 12
-        key = np.concatenate([a | own[j][:, None], near[i].astype(np.int64) << 12 | own[j][:, None], a | near[j]], axis=1)
-        key = np.sort(key | (k << 24), axis=1)
+        a = own[i][:, None].astype(np.int64) << code.bits
+        key = np.concatenate([a | own[j][:, None], near[i].astype(np.int64) << code.bits | own[j][:, None], a | near[j]], axis=1)
+        key = np.sort(key | (k << 2 * code.bits), axis=1)
         fresh = np.ones(key.shape, bool)
         fresh[:, 1:] = key[:, 1:] != key[:, :-1]
         row = np.nonzero(fresh)[0]
@@ -117,14 +160,22 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([r for r, _ in out]), np.concatenate([a for _, a in out])
 
 
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _replicas(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy().view(np.uint64)
         for k in range(0, len(fp), 4096):
-            row, anchor = anchors(fp[k : k + 4096])
+            row, anchor = anchors(fp[k : k + 4096], code)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[k : k + 4096][row].view(np.int64))], names=["anchor", "fp"])
 
 
+def _group(at: list[np.ndarray]) -> np.ndarray:
+    """The number of the group of each of some sorted rows."""
+    changes = np.zeros(len(at[0]), bool)
+    for c in at:
+        changes[1:] |= c[1:] != c[:-1]
+    return np.cumsum(changes)
+
+
 class _Forest:
     """Union by smallest index, over whole arrays of links."""
 
@@ -172,7 +223,8 @@ def _links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, threshold: int)
 
 def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that connect the same fingerprints as all links of ``classes.fp`` do."""
-    every = classes.select("fp").mapInArrow(_replicas, "anchor long, fp long")
+    code = code_for(classes.count())
+    every = classes.select("fp").mapInArrow(lambda batches: _replicas(batches, code), "anchor long, fp long")
     full = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     full = durable(full.select(F.col("anchor").alias("full"), F.ceil(F.col("n") / CHUNK).cast("int").alias("n_chunks")))
     met = every.join(F.broadcast(full) if full.count() <= BROADCAST else full, every["anchor"] == F.col("full"), "left")
@@ -192,15 +244,14 @@ def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            group = cols[0] << 36 | cols[1].astype(np.int64) << 18 | cols[2]
+            group = _group(cols[:3])
             cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
             held = [c[cut:] for c in cols]
             if cut:
                 a, b = _links(group[:cut], cols[3][:cut], cols[4][:cut].view(np.uint64), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
         if held and len(held[0]):
-            group = held[0] << 36 | held[1].astype(np.int64) << 18 | held[2]
-            a, b = _links(group, held[3], held[4].view(np.uint64), threshold)
+            a, b = _links(_group(held[:3]), held[3], held[4].view(np.uint64), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     at = ["anchor", "c1", "c2"]

@@ -2,6 +2,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from lustrum.llm import simhash
@@ -59,7 +60,31 @@ def test_split_anchors(make_docs, corpus, monkeypatch):
     assert sorted(str((r.doc_id, r.fp % 2**64, r.component_id)) for r in got) == components(corpus)
 
 
-def test_anchors_cover_every_link():
+@pytest.mark.parametrize("most", [(3, 10**10), (3, 4)])
+def test_finer_codes(make_docs, corpus, monkeypatch, most):
+    monkeypatch.setattr(simhash, "GOLAY_MOST", most[0])
+    monkeypatch.setattr(simhash, "HAMMING_MOST", most[1])
+    got = simhash.near_duplicates(make_docs(corpus)).collect()
+    assert sorted(str((r.doc_id, r.fp % 2**64, r.component_id)) for r in got) == components(corpus)
+
+
+def test_codes_follow_the_table():
+    assert [simhash.CODES.index(simhash.code_for(n)) for n in (0, 10**8, 10**8 + 1, 3 * 10**10, 10**12)] == [0, 0, 1, 1, 2]
+
+
+def test_codes_cover_within_their_radius():
+    """Words with one name differ in at most twice the radius."""
+    words = np.random.default_rng(5).permutation(1 << 22)[:60_000].astype(np.uint32)
+    for code, radius in zip(simhash.CODES, (3, 1, 0), strict=True):
+        names = code.name(words)
+        assert names.max() < 1 << code.bits
+        order = np.argsort(names, kind="stable")
+        same = names[order][1:] == names[order][:-1]
+        assert (np.bitwise_count(words[order][1:] ^ words[order][:-1])[same] <= 2 * radius).all()
+
+
+@pytest.mark.parametrize("code", simhash.CODES)
+def test_anchors_cover_every_link(code):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, size=4000, dtype=np.uint64)
     b = a.copy()
@@ -68,7 +93,7 @@ def test_anchors_cover_every_link():
             b[i] ^= np.uint64(1) << np.uint64(bit)
     held = [defaultdict(set), defaultdict(set)]
     for side, x in enumerate((a, b)):
-        row, anchor = simhash.anchors(x)
+        row, anchor = simhash.anchors(x, code)
         for r, c in zip(row.tolist(), anchor.tolist(), strict=True):
             held[side][r].add(c)
     assert all(held[0][i] & held[1][i] for i in range(len(a)))
