@@ -41,31 +41,67 @@ def delete_spans(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, cut)
 
 
-def sanitize(df: DataFrame, text: str, html: bool = False) -> DataFrame:
-    """``df`` with column ``sanitized``: struct(cleaned, found, warnings).
+def layers(df: DataFrame, text: str, html: Column | None = None, exfil_scan: Column | None = None) -> DataFrame:
+    """``df`` with columns ``__l1``, ``__l2``, ``__l3`` of the first three layers, 2 and 3 where the flags say so.
 
     URLs are judged on the text before anything is cut out of it.
     """
     df = settled(df, __l1=L.layer1(F.col(text)))
-    stripped = F.when(F.size("__l1.found") > 0, L.describe_stripped(F.col("__l1.found"), F.col("__l1.de_ansi")))
+    cleaned = F.col("__l1.cleaned")
+    if html is not None:
+        df = settled(df, __l2=hidden.sanitize_html(F.when(html, cleaned)))
+    if exfil_scan is not None:
+        df = settled(df, __l3=exfil.detect_exfil(F.when(exfil_scan, cleaned)))
+    return df
+
+
+def _stripped() -> Column:
+    return F.when(F.size("__l1.found") > 0, L.describe_stripped(F.col("__l1.found"), F.col("__l1.de_ansi")))
+
+
+def _cut() -> tuple[Column, Column]:
+    """(whether layer 2 cut something, what is said of it)."""
+    cut = F.coalesce(F.col("__l2.text") != F.col("__l1.cleaned"), F.lit(False))
+    return cut, F.when(cut, F.concat(F.lit("HTML sanitized: "), hidden.describe_removed(F.col("__l2.removed")), F.lit(" replaced with placeholders")))
+
+
+def sanitized(html: bool = True) -> Column:
+    """struct(cleaned, found, warnings) of ``layers``."""
+    l1 = F.col("__l1")
     if not html:
-        out = F.struct(F.col("__l1.cleaned").alias("cleaned"), F.col("__l1.found").alias("found"), _some(stripped).alias("warnings"))
-        return df.withColumn("sanitized", F.when(F.col(text).isNotNull(), out)).drop("__l1")
-    df = settled(df, __l2=hidden.sanitize_html(F.col("__l1.cleaned")), __l3=exfil.detect_exfil(F.col("__l1.cleaned")))
-    l1, l2 = F.col("__l1"), F.col("__l2")
-    cut = l2["text"].isNotNull() & (l2["text"] != l1["cleaned"])
+        return F.struct(l1["cleaned"].alias("cleaned"), l1["found"].alias("found"), _some(_stripped()).alias("warnings"))
+    l2, l3 = F.col("__l2"), F.col("__l3")
+    cut, told = _cut()
     codes = F.filter(
-        F.array(F.when(cut & (l2["removed"]["comments"] > 0), K.COMMENTS), F.when(cut & (l2["removed"]["hidden"] > 0), K.HIDDEN), F.when(F.col("__l3").isNotNull(), K.EXFIL)),
+        F.array(F.when(cut & (l2["removed"]["comments"] > 0), K.COMMENTS), F.when(cut & (l2["removed"]["hidden"] > 0), K.HIDDEN), F.when(l3.isNotNull(), K.EXFIL)),
         lambda c: c.isNotNull(),
     )
     warnings = _some(
-        stripped,
-        F.when(cut, F.concat(F.lit("HTML sanitized: "), hidden.describe_removed(l2["removed"]), F.lit(" replaced with placeholders"))),
+        _stripped(),
+        told,
         F.when(l2["text"].isNotNull(), hidden.describe_warned(l2["warned"])),
-        F.when(F.col("__l3").isNotNull(), F.concat(F.lit("Exfil-shaped URLs detected: "), F.array_join(exfil.reasons(F.col("__l3")), "; "))),
+        F.when(l3.isNotNull(), F.concat(F.lit("Exfil-shaped URLs detected: "), F.array_join(exfil.reasons(l3), "; "))),
     )
-    out = F.struct(F.when(cut, l2["text"]).otherwise(l1["cleaned"]).alias("cleaned"), F.concat(l1["found"], codes).alias("found"), warnings.alias("warnings"))
-    return df.withColumn("sanitized", F.when(F.col(text).isNotNull(), out)).drop("__l1", "__l2", "__l3")
+    return F.struct(F.when(cut, l2["text"]).otherwise(l1["cleaned"]).alias("cleaned"), F.concat(l1["found"], codes).alias("found"), warnings.alias("warnings"))
+
+
+def text_warnings(html: bool, exfil_scan: bool, note: Column) -> tuple[list[Column], Column]:
+    """(warnings of ``layers``, whether layer 2 cut something); colours that are a note aren't warned of."""
+    warnings, cut = [F.when(~note, _stripped())], F.lit(False)
+    if html:
+        cut, told = _cut()
+        warnings += [told, F.when(F.col("__l2.text").isNotNull(), hidden.describe_warned_output(F.col("__l2.warned")))]
+    if exfil_scan:
+        told = F.concat(F.lit("URLs shaped like data exfiltration detected (left intact): "), F.array_join(exfil.reasons(F.col("__l3")), "; "), F.lit(" — do not fetch, relay, or embed these URLs"))
+        warnings.append(F.when(F.col("__l3").isNotNull(), told))
+    return warnings, cut
+
+
+def sanitize(df: DataFrame, text: str, html: bool = False) -> DataFrame:
+    """``df`` with column ``sanitized``: struct(cleaned, found, warnings)."""
+    on = F.lit(True) if html else None
+    df = layers(df, text, on, on)
+    return df.withColumn("sanitized", F.when(F.col(text).isNotNull(), sanitized(html))).drop("__l1", "__l2", "__l3")
 
 
 def sanitize_text(
@@ -84,24 +120,11 @@ def sanitize_text(
     ``span_warning`` are layer 5.
     """
     t = F.col(text)
-    df = settled(df, __l1=L.layer1(t))
+    df = layers(df, text, F.lit(True) if html else None, F.lit(True) if exfil_scan else None)
     l1 = F.col("__l1")
     note = F.lit(colours_are_notes) & (F.size(l1["found"]) == 1) & (F.get(l1["found"], F.lit(0)) == K.ANSI) & L.colour_only(t)
-    warnings = [F.when((F.size(l1["found"]) > 0) & ~note, L.describe_stripped(l1["found"], l1["de_ansi"]))]
-    cleaned, changed = l1["cleaned"], F.lit(False)
-    if html:
-        df = settled(df, __l2=hidden.sanitize_html(F.when(exfil.needs_markdown(l1["cleaned"]), l1["cleaned"])))
-        l2 = F.col("__l2")
-        cut = F.coalesce(l2["text"] != l1["cleaned"], F.lit(False))
-        warnings += [
-            F.when(cut, F.concat(F.lit("HTML sanitized: "), hidden.describe_removed(l2["removed"]), F.lit(" replaced with placeholders"))),
-            F.when(l2["text"].isNotNull(), hidden.describe_warned_output(l2["warned"])),
-        ]
-        cleaned, changed = F.when(cut, l2["text"]).otherwise(cleaned), changed | cut
-    if exfil_scan:
-        df = settled(df, __l3=exfil.detect_exfil(l1["cleaned"]))
-        told = F.concat(F.lit("URLs shaped like data exfiltration detected (left intact): "), F.array_join(exfil.reasons(F.col("__l3")), "; "), F.lit(" — do not fetch, relay, or embed these URLs"))
-        warnings.append(F.when(F.col("__l3").isNotNull(), told))
+    warnings, changed = text_warnings(html, exfil_scan, note)
+    cleaned = F.when(changed, F.col("__l2.text")).otherwise(l1["cleaned"]) if html else l1["cleaned"]
     if redact is not None:
         df = settled(df, __before=cleaned)
         df = settled(df, __l4=R.redact(F.col("__before"), redact))

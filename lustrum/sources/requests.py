@@ -41,31 +41,22 @@ def parse(lines: DataFrame, limit: int = K.MAX_REQUEST_BYTES) -> DataFrame:
     return out.withColumn("text", F.when(F.col("error").isNull(), F.try_variant_get("__r.text", "$", "string"))).drop("__r")
 
 
-def _only(df: DataFrame, cond: Column) -> Column:
-    return F.when(cond, F.col("text"))
-
-
 def answer(lines: DataFrame, limit: int = K.MAX_REQUEST_BYTES) -> DataFrame:
-    """``lines`` (with whatever columns beside) and op, error and ``response``, a JSON object each."""
+    """``lines`` (with whatever columns beside) and op, error and ``response``, a JSON object each.
+
+    The texts of both cleaning ops go through the layers together, as each row's flags say.
+    """
     df = parse(lines, limit)
     op, html = F.col("op"), F.col("html")
-    df = df.withColumns(
-        {
-            "__plain": _only(df, (op == "sanitize") & ~html),
-            "__html": _only(df, (op == "sanitize") & html),
-            "__text": _only(df, (op == "sanitizeText") & ~html & ~F.col("exfil_scan")),
-            "__rich": _only(df, (op == "sanitizeText") & (html | F.col("exfil_scan"))),
-            "__prompt": _only(df, op == "classifyPrompt"),
-        }
-    )
-    df = output.sanitize(df, "__plain").withColumnRenamed("sanitized", "__a")
-    df = output.sanitize(df, "__html", html=True).withColumnRenamed("sanitized", "__b")
-    df = output.sanitize_text(df, "__text").withColumnRenamed("result", "__c")
-    df = output.sanitize_text(df, "__rich", html=True, exfil_scan=True).withColumnRenamed("result", "__d")
+    df = df.withColumns({"__t": F.when(op != "classifyPrompt", F.col("text")), "__prompt": F.when(op == "classifyPrompt", F.col("text"))})
+    whole = op == "sanitize"
+    df = output.layers(df, "__t", html, F.when(whole, html).otherwise(F.col("exfil_scan")))
     df = settled(df, __e=F.when(F.col("__prompt").isNotNull(), prompt.classify_prompt(F.col("__prompt"))))
-    two = F.coalesce(F.col("__a"), F.col("__b"))
-    four = F.coalesce(F.col("__c"), F.col("__d")).withField("sgrNote", F.coalesce(F.col("__c.sgr_note"), F.col("__d.sgr_note"))).dropFields("sgr_note")
-    response = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).when(two.isNotNull(), F.to_json(two)).when(F.col("__e").isNotNull(), F.to_json("__e")).otherwise(F.to_json(four))
+    warnings, cut = output.text_warnings(True, True, F.lit(False))
+    cleaned = F.when(cut, F.col("__l2.text")).otherwise(F.col("__l1.cleaned"))
+    told = F.filter(F.array(*warnings), lambda w: w.isNotNull() & (w != ""))
+    text = F.struct(cleaned.alias("cleaned"), told.alias("warnings"), (cut | (F.size("__l1.found") > 0)).alias("modified"), F.lit(False).alias("sgrNote"))
+    response = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).when(whole, F.to_json(output.sanitized())).when(op == "sanitizeText", F.to_json(text)).otherwise(F.to_json("__e"))
     return df.select(*lines.columns, "op", "error", response.alias("response"))
 
 

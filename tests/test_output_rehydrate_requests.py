@@ -291,3 +291,19 @@ def test_malformed_bytes_end_no_job(spark):
     assert got == ["a\ufffdb", "\ufffdx", "\ufffd", "ok"]
     files = spark.createDataFrame([("f", bytearray(b"\xff " + ("\u200b" * 12).encode()))], "path string, content binary")
     assert [r.file for r in instructions.scan_table(files).collect()] == ["f"]
+
+
+def test_each_flag_of_a_text_request_is_its_own(spark):
+    text = "a<!-- c -->b ![i](javascript:x)"
+    lines = [{"op": op, "text": text, **flags} for op in ("sanitizeText", "sanitize") for flags in ({}, {"html": True}, {"exfilScan": True}, {"html": True, "exfilScan": True})]
+    got = [json.loads(r.response) for r in requests.answer(spark.createDataFrame([(json.dumps(x),) for x in lines], "line string").coalesce(1)).collect()]
+    for line, g in zip(lines, got, strict=True):
+        html = bool(line.get("html"))
+        scanned = html if line["op"] == "sanitize" else bool(line.get("exfilScan"))
+        assert ("<!--" not in g["cleaned"]) == html
+        assert any("script-executing" in w for w in g["warnings"]) == scanned
+        if line["op"] == "sanitize":
+            assert g["found"] == [K.COMMENTS] * html + [K.EXFIL] * html
+            assert (g["cleaned"], g["found"], g["warnings"]) == (lambda r: (r.cleaned, r.found, r.warnings))(api.sanitize(text, html))
+        else:
+            assert (g["cleaned"], g["warnings"], g["modified"]) == api.sanitize_text(text, html, scanned)
