@@ -79,9 +79,9 @@ def scan_instruction_files(globs: list[str], cwd: str = ".") -> list[tuple[str,
     out = []
     for name in instructions.find_files(globs, cwd):
         try:
-            with open(name, encoding="utf-8", newline="") as f:
+            with open(name, encoding="utf-8", errors="replace", newline="") as f:
                 found = instructions.scan_plain(f.read())
-        except (OSError, UnicodeDecodeError):
+        except OSError:
             continue
         if found:
             out.append((os.path.relpath(name, cwd), found))

@@ -307,3 +307,18 @@ def test_each_flag_of_a_text_request_is_its_own(spark):
             assert (g["cleaned"], g["found"], g["warnings"]) == (lambda r: (r.cleaned, r.found, r.warnings))(api.sanitize(text, html))
         else:
             assert (g["cleaned"], g["warnings"], g["modified"]) == api.sanitize_text(text, html, scanned)
+
+
+def test_requests_about_files(spark, tmp_path):
+    for name, content in (("CLAUDE.md", f"a{Z * 12}b"), ("ok.md", "fine")):
+        (tmp_path / name).write_text(content, encoding="utf-8")
+    (tmp_path / "bytes.md").write_bytes(b"\xff " + (Z * 12).encode())
+    ask = lambda *lines: [(r.error, json.loads(r.response)) for r in requests.answer(spark.createDataFrame([(json.dumps(x),) for x in lines], "line string").coalesce(1)).collect()]
+    scan, clean = {"op": "scanInstructionFiles", "globs": ["*.md"], "cwd": str(tmp_path)}, {"op": "cleanFile", "path": str(tmp_path / "CLAUDE.md")}
+    got = ask(scan, {**scan, "globs": []}, {**scan, "globs": "*.md"}, {**scan, "globs": [1]}, {"op": "cleanFile"}, {"op": "cleanFile", "path": str(tmp_path / "gone")})
+    assert [f["file"] for f in got[0][1]["findings"]] == ["CLAUDE.md", "bytes.md"] and got[0][1]["findings"][0]["findings"][0]["charCount"] == 12
+    assert got[1] == (None, {"findings": []})
+    assert [g[1]["error"] for g in got[2:5]] == ["request.globs must be an array of strings"] * 2 + ["request.path must be a string"]
+    assert got[5][0] == got[5][1]["error"] and "gone" in got[5][0]
+    assert ask(clean) == [(None, {"changed": True})] and ask(clean) == [(None, {"changed": False})]
+    assert (tmp_path / "CLAUDE.md").read_text(encoding="utf-8") == "ab"
