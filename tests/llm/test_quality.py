@@ -72,3 +72,43 @@ def test_features_are_those_of_the_whole_text():
     text = "one two three " * 30_000 + "Four!"
     assert len(Q.features(text)) == Q.WIDTH and not np.allclose(Q.features(text), Q.features(text[: len(text) // 2] + "Five Six"))
     assert np.isfinite(Q.features(None)).all() and np.isfinite(Q.features("x")).all()
+
+
+def test_every_learning_row_counts(spark, make_docs, monkeypatch):
+    """All pairs within the groups against the same pairs in one array; groups take in every row, the rarer label's too."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["fine", "words", "BAD!!", "x9"]) for _ in range(rng.randint(3, 30)))) for i in range(400)]
+    table = spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    learn = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for group in (16, 5):  # 5: more groups than poor rows
+        monkeypatch.setattr(Q, "GROUP", group)
+        seen = []
+        deal = Q._deal
+        monkeypatch.setattr(Q, "_deal", lambda r, n, deal=deal, seen=seen: seen.append(deal(r, n)) or seen[-1])
+        model = Q.fit(make_docs(rows), table)
+        monkeypatch.setattr(Q, "_deal", deal)
+        got = seen[0].collect()
+        assert sum(r.own for r in got) == len(learn) and all({r.good for r in got if r.grp == g} == {True, False} for g in {r.grp for r in got})
+        x = np.stack([np.frombuffer(r.x, "<f4").astype(float) for r in got])
+        own = x[[r.own for r in got]]
+        scale = np.where(own.std(axis=0) > 1e-9, own.std(axis=0), 1.0)
+        pairs = [(a, b) for a, g in enumerate(got) if g.good for b, p in enumerate(got) if not p.good and p.grp == g.grp]
+        penalty = np.repeat([1e-3, 0.03], [Q.SHAPES, Q.WIDTH - Q.SHAPES])
+        w = Q.bradley_terry(x / scale, np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), penalty)
+        assert np.allclose(model.mean, own.mean(axis=0)) and np.allclose(model.scale, scale) and np.allclose(model.weights, w, atol=1e-5)
+        z = np.sort(((own - model.mean) / model.scale) @ model.weights)
+        poor = sum(i % 9 == 0 for i in learn)
+        assert np.isclose(model.threshold, (z[poor - 1] + z[poor]) / 2)
+        assert np.allclose(model.low, own.min(axis=0)) and np.allclose(model.high, own.max(axis=0))
+
+
+def test_scores_of_a_rank(spark, monkeypatch):
+    """Bins that hold too much are taken apart, ties too."""
+    monkeypatch.setattr(Q, "BINS", 3)
+    monkeypatch.setattr(Q, "SORTED", 2)
+    values = [0.0, 1.0, 1.0, 1.0, 1.0, 1.5, 1.5000001, 2.0, 900.0, 900.0, 900.0]
+    x = lambda v: np.full(Q.WIDTH, v, "<f4").tobytes()
+    rows = spark.createDataFrame([(k // 4, k % 2 == 0, True, x(v)) for k, v in enumerate(values)] + [(9, True, False, x(5.0))], "grp long, good boolean, own boolean, x binary")
+    dealt = rows.repartition(2, "grp").sortWithinPartitions("grp")
+    score = lambda x: x[:, 0].astype(float)
+    assert [Q._ranked(dealt, score, k, 0.0, 900.0) for k in range(len(values))] == [float(np.float32(v)) for v in values]
