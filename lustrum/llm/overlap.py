@@ -1,10 +1,9 @@
-"""Near copies by shared word shingles: MinHash bands propose, exact Jaccard similarity decides.
+"""Near copies by shared word shingles: SimHash anchors propose, exact Jaccard similarity decides.
 
 A text is the set of its runs of five words, as 64-bit digests.  Texts with the same set
-are one class.  Classes that share one of 24 bands of five minima are candidates (of pairs
-with similarity 0.8, 99.99 % share a band, of less similar ones few that matter); their
-links go to the band's smallest class, so that they grow with the classes and not with
-the pairs.  Within each component of candidates the sets themselves are compared, and
+are one class.  Classes whose fingerprints meet under an anchor of the covering code are
+candidates (``simhash.candidates``; of pairs with similarity 0.8, 99.9 % are).
+Within each component of candidates the sets themselves are compared, and
 classes link whose similarity is 0.8 or more.  Components that hold many classes are
 split into pairs of chunks, each compared in a task of bounded memory, which returns a
 spanning forest of its links.
@@ -27,18 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import durable, few_broadcast
 from .components import connected_components
-from .simhash import SEED, _Forest
+from .simhash import SEED, _Forest, candidates, code_of, words_of
 
 SHINGLE, ALIKE = 5, 0.8
-BANDS, ROWS = 24, 5
 #: classes of a component of candidates that are compared in one task
 CHUNK = 512
 #: classes that are broadcast at most (24 bytes each)
 BROADCAST = 200_000
 
-_FACTORS, _TERMS = (np.random.default_rng(7).integers(0, 2**63, size=(2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted digests (uint64) of a text's distinct shingles; at least one."""
     import xxhash
@@ -53,18 +48,6 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array(h, dtype=np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """One signed long for each band of a set's minima."""
-    import xxhash
-
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(own), 512):
-        np.minimum(least, (own[k : k + 512] * _FACTORS + _TERMS).min(axis=1), out=least)
-    raw = least.tobytes()
-    keys = [xxhash.xxh64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def _set_digest(own: np.ndarray) -> int:
     import xxhash
 
@@ -75,8 +58,10 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py()) for t in batch.column(2)]
         digests = pa.array(np.array([_set_digest(s) for s in sets], np.uint64).view(np.int64))
-        keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), digests, keys], names=["doc_id", "th", "sh", "bands"])
+        words = [words_of(s) for s in sets]
+        codes = pa.array([code_of(w) for w in words], pa.int64())
+        words = pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), digests, codes, words], names=["doc_id", "th", "sh", "code", "words"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +127,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same classes as all pairs of similarity ALIKE do.
 
-    classes: sh, th (the hash of one of its texts), bands.
+    classes: sh, th (the hash of one of its texts), code and words (of its fingerprints).
     """
-    keys = classes.select("sh", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("sh").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("__band"), "least")
-    edges = keys.join(shared, keys["band"] == F.col("__band")).where("sh != least").select(F.col("sh").alias("a"), F.col("least").alias("b"))
-    found = connected_components(edges)
-    member = durable(found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    picked = durable(classes.select("sh", "th").join(member, F.col("sh") == F.col("node")).select("th", "sh", F.col("root").alias("grp")))
+    found = connected_components(candidates(classes))
+    twins = classes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("code").alias("node"), F.col("code").alias("root"))
+    nodes = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root")).unionByName(twins)
+    member = durable(nodes.groupBy("node").agg(F.min("root").alias("root")))
+    picked = durable(classes.select("sh", "th", "code").join(member, F.col("code") == F.col("node")).select("th", "sh", F.col("root").alias("grp")))
     chunks = picked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n_chunks"))
     many = few_broadcast(chunks.where("n_chunks > 1").withColumnRenamed("grp", "__grp"), BROADCAST)
 
@@ -167,8 +151,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), component_id (smallest doc_id reachable over links)."""
-    own = durable(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_classified, "doc_id long, th long, sh long, bands array<long>"))
-    classes = durable(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("bands").alias("bands")))
+    own = durable(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_classified, "doc_id long, th long, sh long, code long, words array<long>"))
+    classes = durable(own.groupBy("sh").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("code").alias("code"), F.min("words").alias("words")))
     found = connected_components(links(docs, classes))
     labelled = durable(classes.join(found.select("node", "root"), F.col("sh") == F.col("node"), "left").select("sh", F.coalesce("root", "sh").alias("root"), "least"))
     lowest = durable(labelled.groupBy("root").agg(F.min("least").alias("component_id")))  # kept, so that the join's sides can be split

@@ -16,6 +16,13 @@ Only distinct fingerprints are replicated: copies share one.  Anchors that hold
 split into pairs of chunks, each compared in a task of bounded memory, and every comparison returns a spanning forest
 of its links instead of all of them.  Components then join up over the anchors.
 
+Texts of similar shingle sets (similarity 0.8, as a stage has to find) differ in some 10 of
+64 bits, beyond any single fingerprint's anchors.  ``candidates`` therefore gives each set
+several independent fingerprints and replicates each to its anchors as above: two sets of
+similarity 0.8 meet under the anchors of one fingerprint in 47 of 100 cases, so under those
+of 12 in 99.9 %.  Sets that meet are candidates if they differ in at most 27 of 97 other bits,
+which travel with the replicas; an exact comparison has to follow.
+
 Defined results: words are separated by the bytes 20 and 09-0D; a text of fewer words
 than a shingle has one shingle, its whole word sequence; a null text or one without
 words has fingerprint zero, which links like any other; rows with a null doc_id are
@@ -71,6 +78,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > m).view(np.uint64)[0])
 
 
+_FACTORS, _TERMS = (np.random.default_rng(11).integers(0, 2**63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def many_fingerprints(h: np.ndarray, n: int) -> np.ndarray:
+    """``n`` independent fingerprints (uint64) of the shingles with digests ``h``: each mixes the digests in its own way."""
+    ones = np.zeros(n * 64, np.int64)
+    for k in range(0, len(h), 255):
+        x = (h[k : k + 255, None] ^ _TERMS[:n]) * _FACTORS[:n]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h)).view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, th (hash of the text), fp (the fingerprint as a signed long)."""
 
@@ -258,6 +280,111 @@ def links(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(compared, "a long, b long")
 
 
+#: fingerprints whose anchors a set goes to: sets of few shingles, whose bits hang on single ones, have more
+WORDS, WORDS_OF_FEW, FEW = 12, 24, 20
+#: other bits of a set that travel with its replicas (33 and 64 of two more fingerprints), and how many of candidates differ at most
+LOW, APART = 33, 27
+
+
+def words_of(own: np.ndarray) -> np.ndarray:
+    """The fingerprints (uint64) of a set of digests: two that travel, then those that lead to anchors."""
+    return many_fingerprints(own, 2 + (WORDS_OF_FEW if len(own) <= FEW else WORDS))
+
+
+def _code(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """One signed long for the bits that travel."""
+    return (fp ^ (key & np.uint64((1 << LOW) - 1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def code_of(words: np.ndarray) -> int:
+    return int(_code(words[:1], words[1:2])[0])
+
+
+def _wide_replicas(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
+    """(key, fp): the number of the fingerprint, the anchor and the low bits in one long, the other bits."""
+    for batch in batches:
+        size = batch.column(0).value_lengths().to_numpy()
+        flat = batch.column(0).flatten().to_numpy().view(np.uint64)
+        starts = np.cumsum(size) - size
+        for n in np.unique(size):
+            words = flat[starts[size == n][:, None] + np.arange(n)]
+            low = words[:, 0] & np.uint64((1 << LOW) - 1)
+            for i in range(0, len(words), 4096):
+                for k in range(2, n):
+                    row, anchor = anchors(words[i : i + 4096, k], code)
+                    name = (anchor | (k - 2) << 26).astype(np.uint64) << np.uint64(LOW)
+                    key, fp = name | low[i : i + 4096][row], words[i : i + 4096, 1][row]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
+
+
+def _wide_links(group: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the candidates within groups of sorted rows, as pairs of row numbers.
+
+    Rows of a group share the upper bits of their keys.  Of large groups, each row meets
+    only those that no row met before, so that copies by the thousand stay cheap.
+    """
+    n, forest = len(key), _Forest(len(key))
+    if not n:
+        return forest.up, forest.up
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.append(starts, n))
+    left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes))
+    at, d = np.flatnonzero((np.repeat(sizes, sizes) <= 64) & (left > 1)), 1
+    while len(at):
+        near = at[np.bitwise_count(key[at] ^ key[at + d]) + np.bitwise_count(fp[at] ^ fp[at + d]) <= APART]
+        forest.link(near, near + d)
+        d += 1
+        at = at[left[at] > d]
+    for s, size in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+        unseen = np.arange(s, s + size)
+        while len(unseen) > 1:
+            front, unseen = unseen[:1], unseen[1:]
+            while len(front) and len(unseen):
+                k = max(1, (1 << 20) // len(unseen))
+                some, front = front[:k], front[k:]
+                met = (np.bitwise_count(key[some][:, None] ^ key[unseen]) + np.bitwise_count(fp[some][:, None] ^ fp[unseen]) <= APART).any(axis=0)
+                forest.link(np.full(int(met.sum()), some[0]), unseen[met])
+                front, unseen = np.concatenate([front, unseen[met]]), unseen[~met]
+    child = np.flatnonzero(forest.up != np.arange(n))
+    return child, forest.up[child]
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of codes that connect the same sets as all pairs of candidates do; ``sets.words`` as by ``words_of``.
+
+    Finer codes aren't needed: replicas are told apart by the bits that travel, and an
+    anchor of 16.8 million holds few sets that aren't alike.
+    """
+    every = sets.select("words").mapInArrow(lambda batches: _wide_replicas(batches, CODES[0]), "key long, fp long")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's links as one forest under smallest codes, so that tasks that see the same sets say the same."""
+        met = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+        def linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = _wide_links(key >> np.uint64(LOW), key, fp)
+            code = _code(key, fp)
+            names, at = np.unique(np.concatenate([met[0], code[a], met[1], code[b]]), return_inverse=True)
+            forest = _Forest(len(names))
+            forest.link(*np.split(at, 2))
+            child = np.flatnonzero(forest.up != np.arange(len(names)))
+            return names[child], names[forest.up[child]]
+
+        for batch in batches:
+            key, fp = (np.concatenate([h, batch.column(k).to_numpy().view(np.uint64)]) for k, h in enumerate(held))
+            before = np.flatnonzero(key >> np.uint64(LOW) != key[-1:] >> np.uint64(LOW))  # rows of groups that have ended
+            cut = int(before[-1]) + 1 if len(before) else 0
+            held = key[cut:], fp[cut:]
+            if cut:
+                met = linked(key[:cut], fp[:cut])
+        met = linked(*held)
+        for k in range(0, len(met[0]), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(met[0][k : k + 65_536]), pa.array(met[1][k : k + 65_536])], names=["a", "b"])
+
+    return every.repartition(F.shiftright("key", LOW)).sortWithinPartitions("key").mapInArrow(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, th (hash of the text), fp, component_id (smallest doc_id reachable over links)."""
     if threshold > THRESHOLD:

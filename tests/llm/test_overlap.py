@@ -68,3 +68,45 @@ def test_stage_drops_near_copies_whose_fingerprints_differ(spark, make_docs):
 
 def test_empty_table(make_docs):
     assert overlap.near_copies(make_docs([])).collect() == []
+
+
+def test_candidates_come_from_anchors(spark):
+    """Sets of similarity 0.8 meet through the fingerprints' anchors; a large group of near copies needs few links."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(150):
+        own = rng.integers(0, 2**63, 100, dtype=np.uint64)
+        sets += [own, own[:80]]
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    for k in range(300):
+        own = base.copy()
+        own[k % 200 : k % 200 + 1 + k // 200] = rng.integers(0, 2**63)
+        sets.append(own)
+    words = [simhash.words_of(s) for s in sets]
+    codes = [simhash.code_of(w) for w in words]
+    df = spark.createDataFrame([(w.view(np.int64).tolist(),) for w in words], "words array<long>")
+    got = {frozenset(r) for r in simhash.candidates(df).distinct().collect()}
+    far = sum(bin(simhash.words_of(sets[2 * k])[2] ^ simhash.words_of(sets[2 * k + 1])[2]).count("1") > 4 for k in range(150))
+    assert far > 120 and sum(frozenset(codes[2 * k : 2 * k + 2]) in got for k in range(150)) >= 148
+    near = set(codes[300:])
+    assert len({c for pair in got for c in pair} & near) == len(near) and sum(pair <= near for pair in got) < 12 * len(near)
+
+
+def test_wide_links_of_large_groups():
+    rng = np.random.default_rng(10)
+    fp = np.concatenate([np.uint64(5) ^ np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64), rng.integers(0, 2**63, 150, dtype=np.uint64)])
+    key = np.zeros(len(fp), np.uint64)
+    for size in (350, 40):
+        group = np.arange(len(fp)) // size
+        a, b = simhash._wide_links(group, key, fp)
+        up = {i: i for i in range(len(fp))}
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, j in combinations(range(len(fp)), 2):
+            if group[i] == group[j] and bin(int(fp[i] ^ fp[j])).count("1") <= simhash.APART:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+        assert {int(i): int(j) for i, j in zip(a, b, strict=True)} == {i: top(i) for i in up if top(i) != i}
